@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tillwatch.config import TrackingConfig
 from tillwatch.functions import scalar as fn
-from tillwatch.operators.spread import spread_join
-from tillwatch.schemas import EPISODE, HOST, STORE
+from tillwatch.operators.spread import assign_part, heaviest, repeat_parts, spread_join
+from tillwatch.schemas import HOST, STORE
 
 UNKNOWN_KEY = "UNKNOWN_KEY"
 AFTER_CUTOFF = "AFTER_CUTOFF"
@@ -17,54 +17,57 @@ UNKNOWN_STORE = "UNKNOWN_STORE"
 STORE_DONE = "STORE_DONE"
 
 
-def attribute(responses: DataFrame, publishes: DataFrame, config: TrackingConfig) -> DataFrame:
-    """As-of join: add published_at, msg_offset, expire_at of the publish, null where there is none.
+def time_slices(responses: DataFrame, publishes: DataFrame, config: TrackingConfig) -> DataFrame:
+    """One row per key and time slice: responses in it, and the newest publish before it.
 
-    Key and time slice partition the scan; a slice with very many responses is spread further by a hash
-    of ``seq``, with its publishes repeated, since responses need no order among themselves.
+    Small beside the responses, since a key has at most one row per slice.
     """
-    publish = F.struct("published_at", "msg_offset", "expire_at")
-    asked = responses.withColumn("_segment", fn.segment_of("received_at", config.segment_seconds))
-    sent = publishes.select(
-        "message_key",
-        fn.segment_of("published_at", config.segment_seconds).alias("_segment"),
-        F.col("published_at").alias("_at"),
-        publish.alias("_publish"),
-    )
     keys = ["message_key", "_segment"]
+    sent = _sent(publishes, config).groupBy(*keys).agg(F.max("_publish").alias("newest"))
+    asked = _asked(responses, config).groupBy(*keys).agg(F.count("*").alias("n"))
     earlier = W.partitionBy("message_key").orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
-    slices = (
-        sent.groupBy(*keys)
-        .agg(F.max("_publish").alias("newest"), F.lit(0).cast("long").alias("n"))
-        .unionByName(
-            asked.groupBy(*keys).agg(F.lit(None).cast(sent.schema["_publish"].dataType).alias("newest"), F.count("*").alias("n"))
-        )
+    return (
+        sent.unionByName(asked, allowMissingColumns=True)
         .groupBy(*keys)
-        .agg(F.max("newest").alias("newest"), F.sum("n").alias("n"))
+        .agg(F.max("newest").alias("newest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         .select(*keys, F.max("newest").over(earlier).alias("_publish"), "n")
+        .filter("n > 0")
     )
-    parts = F.greatest(F.ceil(F.col("n") / F.lit(config.rows_per_task)), F.lit(1)).cast("int")
-    heavy = (
-        slices.filter(F.col("n") > config.rows_per_task)
-        .select(*keys, parts.alias("_parts"))
-        .orderBy(F.desc("_parts"), *keys)
-        .limit(config.max_hot_groups)
-    )
-    each_part = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
-
-    def beside_heavy(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(heavy), keys, "left")
-
-    part = F.pmod(F.xxhash64("seq"), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
-    answers = beside_heavy(asked).withColumn("_part", part).withColumn("_at", F.col("received_at")).withColumn("_kind", F.lit(2))
-    starts = beside_heavy(sent).withColumn("_part", each_part).withColumn("_kind", F.lit(1))
-    heads = (
-        beside_heavy(slices.filter("n > 0 and _publish is not null").drop("n"))
-        .withColumn("_part", each_part)
-        .withColumn("_kind", F.lit(0))
+
+
+def _sent(publishes: DataFrame, config: TrackingConfig) -> DataFrame:
+    return publishes.select(
+        "message_key",
+        fn.segment_of("published_at", config.segment_seconds).alias("_segment"),
+        F.col("published_at").alias("_at"),
+        F.struct("published_at", "msg_offset", "expire_at").alias("_publish"),
     )
+
+
+def _asked(responses: DataFrame, config: TrackingConfig) -> DataFrame:
+    return responses.withColumn("_segment", fn.segment_of("received_at", config.segment_seconds))
+
+
+def attribute(responses: DataFrame, publishes: DataFrame, slices: DataFrame, config: TrackingConfig) -> DataFrame:
+    """As-of join: add published_at, msg_offset, expire_at of the publish, null where there is none.
+
+    ``slices`` is the staged result of ``time_slices``. Key and time slice partition the scan; a slice with
+    very many responses is spread further by a hash of ``seq``, with its publishes repeated, since
+    responses need no order among themselves.
+    """
+    keys = ["message_key", "_segment"]
+    answers = _asked(responses, config).withColumn("_at", F.col("received_at")).withColumn("_kind", F.lit(2))
+    starts = _sent(publishes, config).withColumn("_kind", F.lit(1))
+    heads = slices.filter("_publish is not null").drop("n").withColumn("_kind", F.lit(0))
+    heavy = heaviest(slices, keys, "n", config)
+    group = keys
+    if heavy is not None:
+        group = [*keys, "_part"]
+        answers = assign_part(answers, heavy, keys, ["seq"])
+        starts = repeat_parts(starts, heavy, keys)
+        heads = repeat_parts(heads, heavy, keys)
     # Heads have no time and sort first; at equal times a publish comes before a response.
-    upto = W.partitionBy(*keys, "_part").orderBy("_at", "_kind", "_publish").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = W.partitionBy(*group).orderBy("_at", "_kind", "_publish").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         answers.unionByName(starts, allowMissingColumns=True)
         .unionByName(heads, allowMissingColumns=True)
@@ -120,14 +123,3 @@ def unexpected_hosts(outcomes: DataFrame, expected: DataFrame) -> DataFrame:
     answered = accepted.groupBy(*HOST).agg(F.count("*").alias("n_responses"), F.min("received_at").alias("first_received_at"))
     return answered.join(named, HOST, "left_anti")
 
-
-__all__ = [
-    "EPISODE",
-    "at_or_before",
-    "attribute",
-    "cutoff",
-    "in_window",
-    "stale",
-    "unexpected_hosts",
-    "with_outcome",
-]

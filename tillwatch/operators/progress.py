@@ -48,26 +48,27 @@ def host_facts(attributed: DataFrame, expected: DataFrame, config: TrackingConfi
     )
 
 
-def with_progress(hosts: DataFrame, attributed: DataFrame, config: TrackingConfig, repeated_hosts: bool) -> DataFrame:
+def with_progress(hosts: DataFrame) -> DataFrame:
     """Add ``progress``: the answers of a machine that advance its store, oldest first, at most one per unit.
 
-    For a machine named once that is its first answer. Machines named more often need their answers
-    ranked; ``repeated_hosts=False`` says there are none, and the ranking is left out of the plan.
+    For a machine named once that is its first answer; ``repeated_progress`` serves the others.
     """
     first = F.array(F.struct("first_response.received_at", "first_response.seq"))
-    once = F.when((F.col("units") > 0) & (F.col("n_responses") > 0), first).otherwise(F.array().cast(NO_PROGRESS))
-    if not repeated_hosts:
-        return hosts.withColumn("progress", once)
-    often = (F.col("units") > 1) & (F.col("n_responses") > 1)
+    answered = (F.col("units") > 0) & (F.col("n_responses") > 0)
+    return hosts.withColumn("progress", F.when(answered, first).otherwise(F.array().cast(NO_PROGRESS)))
+
+
+def owes_several() -> Column:
+    """The machine was named more than once and answered more than once."""
+    return (F.col("units") > 1) & (F.col("n_responses") > 1)
+
+
+def repeated_progress(hosts: DataFrame, attributed: DataFrame, config: TrackingConfig) -> DataFrame:
+    """``progress`` for the machines of ``hosts``, staged rows that ``owes_several`` holds for, by ranking raw answers."""
+    raw = attributed.filter(in_window(config)).select(*HOST, "received_at", "seq")
+    wanted = hosts.select(*HOST, "units", F.col("n_responses").alias("_n"))
     ranked = running_total(
-        spread_join(
-            attributed.filter(in_window(config)).select(*HOST, "received_at", "seq"),
-            hosts.filter(often).select(*HOST, "units", F.col("n_responses").alias("_n")),
-            HOST,
-            ["seq"],
-            "_n",
-            config,
-        ),
+        spread_join(raw, wanted, HOST, ["seq"], "_n", config),
         HOST,
         fn.segment_of("received_at", config.segment_seconds),
         ["received_at", "seq"],
@@ -75,10 +76,8 @@ def with_progress(hosts: DataFrame, attributed: DataFrame, config: TrackingConfi
         "_nth",
     )
     # At most one entry per unit, and the units came as one list in one publish.
-    advancing = (
-        ranked.filter("_nth <= units").groupBy(*HOST).agg(F.sort_array(F.collect_list(F.struct("received_at", "seq"))).alias("progress"))
-    )
-    return hosts.filter(~often).withColumn("progress", once).unionByName(hosts.filter(often).join(advancing, HOST))
+    advancing = F.sort_array(F.collect_list(F.struct("received_at", "seq"))).alias("progress")
+    return hosts.drop("progress").join(ranked.filter("_nth <= units").groupBy(*HOST).agg(advancing), HOST)
 
 
 def store_progress(hosts: DataFrame) -> DataFrame:
@@ -106,30 +105,36 @@ def store_progress(hosts: DataFrame) -> DataFrame:
     )
 
 
-def with_latest(hosts: DataFrame, stores: DataFrame, attributed: DataFrame, config: TrackingConfig) -> DataFrame:
-    """Keep machines of known stores and add ``latest``: the last answer accepted from each.
-
-    Answers after the one that completed the store are not accepted. First and last answer settle all
-    machines but those with answers in between and some on either side; these look up their raw answers.
-    """
+def with_done(hosts: DataFrame, stores: DataFrame, config: TrackingConfig) -> DataFrame:
+    """Machines of known stores with the completion of their store. ``stores`` is the staged ``store_progress``."""
     done = stores.select(*STORE, "done", "expected", "responded", "n_hosts")
-    rows = spread_join(hosts, done, STORE, ["pos_hostname"], "n_hosts", config).drop("known")
-    first, last, done = F.col("first_response"), F.col("last_response"), F.col("done")
-    cut = F.coalesce(done.isNotNull() & ~at_or_before(last, done), F.lit(False))
-    starts_before = F.coalesce(at_or_before(first, done), F.lit(False))
-    straddles = cut & starts_before & (F.col("n_responses") > 2)
-    latest = F.when(~cut, last).when(starts_before, first)
-    settled = rows.filter(~straddles).withColumn("latest", latest)
-    looked_up = spread_join(
-        attributed.filter(in_window(config)).select(*HOST, _response().alias("response"), "seq"),
-        rows.filter(straddles).withColumn("_n", F.col("n_responses")),
-        HOST,
-        ["seq"],
-        "_n",
-        config,
-    ).filter(at_or_before(F.col("response"), done))
-    others = [c for c in settled.columns if c != "latest"]
-    return settled.unionByName(looked_up.groupBy(*others).agg(F.max("response").alias("latest")))
+    return spread_join(hosts, done, STORE, ["pos_hostname"], "n_hosts", config).drop("known")
+
+
+def straddles() -> Column:
+    """The machine has answers on either side of its store's completion, and some in between."""
+    return (F.col("n_responses") > 2) & _cut_off() & _starts_before()
+
+
+def _cut_off() -> Column:
+    return F.coalesce(F.col("done").isNotNull() & ~at_or_before(F.col("last_response"), F.col("done")), F.lit(False))
+
+
+def _starts_before() -> Column:
+    return F.coalesce(at_or_before(F.col("first_response"), F.col("done")), F.lit(False))
+
+
+def latest_by_ends(hosts: DataFrame) -> DataFrame:
+    """Add ``latest``, the last accepted answer, to machines whose first and last answer settle it."""
+    latest = F.when(~_cut_off(), F.col("last_response")).when(_starts_before(), F.col("first_response"))
+    return hosts.withColumn("latest", latest)
+
+
+def latest_by_lookup(hosts: DataFrame, attributed: DataFrame, config: TrackingConfig) -> DataFrame:
+    """Add ``latest`` to staged machines that straddle the completion of their store, from their raw answers."""
+    raw = attributed.filter(in_window(config)).select(*HOST, _response().alias("response"), "seq")
+    found = spread_join(raw, hosts.withColumn("_n", F.col("n_responses")), HOST, ["seq"], "_n", config)
+    return found.filter(at_or_before(F.col("response"), F.col("done"))).groupBy(*hosts.columns).agg(F.max("response").alias("latest"))
 
 
 def missing_units() -> Column:

@@ -4,12 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.config import TrackingConfig
 
 
+def part_count(weight: str, config: TrackingConfig) -> Column:
+    """Number of tasks the rows of a key should be spread over."""
+    return F.greatest(F.ceil(F.col(weight) / F.lit(config.rows_per_task)), F.lit(1)).cast("int")
+
+
+def heaviest(weights: DataFrame, keys: Sequence[str], weight: str, config: TrackingConfig) -> DataFrame | None:
+    """The heaviest keys with their part count, at most ``max_hot_groups`` of them; None if no key is heavy.
+
+    ``weights`` should be a staged table: it is asked once, here, whether any key is heavy.
+    """
+    heavy = weights.filter(F.col(weight) > config.rows_per_task)
+    if heavy.isEmpty():
+        return None
+    return heavy.select(*keys, part_count(weight, config).alias("_parts")).orderBy(F.desc("_parts"), *keys).limit(config.max_hot_groups)
+
+
+def assign_part(df: DataFrame, heavy: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
+    """Add ``_part``: a hash of ``spread_by`` within the parts of a heavy key, 0 for other keys."""
+    part = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
+    return df.join(F.broadcast(heavy), list(keys), "left").withColumn("_part", part).drop("_parts")
+
+
+def repeat_parts(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Repeat the rows of a heavy key for each of its parts, as ``_part``."""
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    return df.join(F.broadcast(heavy), list(keys), "left").withColumn("_part", F.explode(parts)).drop("_parts")
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,
@@ -19,21 +47,16 @@ def spread_join(
     config: TrackingConfig,
     how: str = "inner",
 ) -> DataFrame:
-    """Join ``big`` to ``small`` (unique on ``keys``), spreading heavy keys over several tasks.
+    """Join ``big`` to ``small`` (staged, unique on ``keys``), spreading heavy keys over several tasks.
 
     ``small[weight]`` says how many rows of ``big`` a key has. The rows of a heavy key get a part number
     from a hash of ``spread_by``, and the one row of ``small`` is repeated for each part. Only the list of
-    the heaviest keys is broadcast; it never has more than ``config.max_hot_groups`` rows. A key outside
-    the list joins in part 0, so the result does not depend on the list. ``weight`` is dropped.
+    the heaviest keys is broadcast, and its length is bounded. A key outside the list joins in part 0, so
+    the result does not depend on the list. ``weight`` is dropped.
     """
-    parts = F.greatest(F.ceil(F.col(weight) / F.lit(config.rows_per_task)), F.lit(1)).cast("int")
-    heavy = (
-        small.filter(F.col(weight) > config.rows_per_task)
-        .select(*keys, parts.alias("_parts"))
-        .orderBy(F.desc("_parts"), *keys)
-        .limit(config.max_hot_groups)
-    )
-    part = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
-    many = big.join(F.broadcast(heavy), list(keys), "left").withColumn("_part", part).drop("_parts")
-    one = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
+    heavy = heaviest(small, keys, weight, config)
+    if heavy is None:
+        return big.join(small.drop(weight), list(keys), how)
+    many = assign_part(big, heavy, keys, spread_by)
+    one = repeat_parts(small.drop(weight), heavy, keys)
     return many.join(one, [*keys, "_part"], how).drop("_part")

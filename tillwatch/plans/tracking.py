@@ -72,15 +72,34 @@ class TrackingRun:
     @cached_property
     def attributed(self) -> DataFrame:
         """Responses with the publish they answer."""
-        return self.workspace.stage(attribution.attribute(self.inputs.responses, self.episodes, self.config), "attributed")
+        responses, config = self.inputs.responses, self.config
+        slices = self.workspace.stage(attribution.time_slices(responses, self.episodes, config), "slices")
+        return self.workspace.stage(attribution.attribute(responses, self.episodes, slices, config), "attributed")
+
+    @cached_property
+    def machines(self) -> DataFrame:
+        """Machines with their answers in time and the progress these make."""
+        facts = progress.with_progress(progress.host_facts(self.attributed, self.inputs.expected, self.config))
+        if not self.inputs.repeated_hosts:
+            return self.workspace.stage(facts, "machines")
+        facts = self.workspace.stage(facts, "machines_named_once")
+        several = self.workspace.stage(facts.filter(progress.owes_several()), "machines_owing_several")
+        if several.isEmpty():
+            return facts
+        ranked = progress.repeated_progress(several, self.attributed, self.config)
+        return self.workspace.stage(facts.filter(~progress.owes_several()).unionByName(ranked), "machines")
 
     @cached_property
     def hosts(self) -> DataFrame:
-        """Machines with progress and last accepted answer."""
-        facts = progress.host_facts(self.attributed, self.inputs.expected, self.config)
-        advanced = progress.with_progress(facts, self.attributed, self.config, self.inputs.repeated_hosts)
-        latest = progress.with_latest(advanced, progress.store_progress(advanced), self.attributed, self.config)
-        return self.workspace.stage(latest, "hosts")
+        """Machines of known stores with their last accepted answer."""
+        completion = self.workspace.stage(progress.store_progress(self.machines), "completion")
+        rows = progress.with_done(self.machines, completion, self.config)
+        straddling = self.workspace.stage(rows.filter(progress.straddles()), "straddling")
+        if straddling.isEmpty():
+            return self.workspace.stage(progress.latest_by_ends(rows), "hosts")
+        by_ends = progress.latest_by_ends(rows.filter(~progress.straddles()))
+        by_lookup = progress.latest_by_lookup(straddling, self.attributed, self.config)
+        return self.workspace.stage(by_ends.unionByName(by_lookup), "hosts")
 
     @cached_property
     def stores(self) -> DataFrame:

@@ -10,12 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.plans.tracking import Inputs
+from tillwatch.session import Workspace
 
 STORES_PER_ORDER = 3
 
+# The columns used here; reading with a schema needs no look at the files while planning.
+COLUMNS = {
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_returnflag string, l_linestatus string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _store() -> Column:
@@ -31,8 +41,8 @@ def publishes(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     has_store = [F.max((F.pmod("l_suppkey", F.lit(STORES_PER_ORDER)) == s).cast("int")) for s in range(STORES_PER_ORDER)]
     stores = lines.groupBy("l_orderkey").agg(sum(has_store[1:], has_store[0]).alias("total_stores"))
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, folder, "orders")
+    customers = table(spark, folder, "customer")
     published = "(o_orderdate + (o_orderkey % 1440) * interval '1' minute)"
     return (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
@@ -93,7 +103,7 @@ def responses(spark: SparkSession, folder: str, publishes: DataFrame) -> DataFra
     )
 
 
-def inputs(spark: SparkSession, folder: str) -> Inputs:
+def inputs(spark: SparkSession, folder: str, workspace: Workspace) -> Inputs:
     """Publishes, expected machines and responses of an order database."""
-    sent = publishes(spark, folder)
+    sent = workspace.stage(publishes(spark, folder), "publishes")
     return Inputs(sent, expected(spark, folder, sent), responses(spark, folder, sent), repeated_hosts=False)
