@@ -113,7 +113,7 @@ def _checkpoint_events(run: TrackingRun) -> DataFrame:
 
 
 def _late_responses(run: TrackingRun) -> DataFrame:
-    accepted = run.outcomes.filter("reject_reason is null").join(run.messages.select(*EPISODE, "first_published_at"), EPISODE)
+    accepted = settle.with_chain_start(run.outcomes.filter("reject_reason is null"), run.messages, run.config, "n_responses", "seq")
     return accepted.filter(settle.late(run.config, "received_at")).select(
         "seq", "message_key", "msg_offset", fn.whole_minutes("first_published_at", "received_at").alias("lag_minutes")
     )
@@ -126,7 +126,7 @@ def _pos_latest_status(run: TrackingRun) -> DataFrame:
 
 
 def _store_faults(run: TrackingRun) -> DataFrame:
-    rows = run.stores.join(run.messages.select(*EPISODE, "first_published_at"), EPISODE)
+    rows = settle.with_chain_start(run.stores, run.messages, run.config)
     return rows.select("message_key", "msg_offset", "store_number", fn.join_flags(settle.store_flags(run.config)).alias("flags"))
 
 
@@ -185,10 +185,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "store_progress_mid": _mid(_store_progress),
         "status_snapshot": _mid(lambda r: status.status_rows(r.hosts, r.stores, r.messages, r.config)),
         "find_message": _mid(
-            lambda r: status.message_of(r.messages, "K100").select("message_key", "msg_offset", "cluster_id", "total_stores", "stores_done")
+            lambda r: status.message_of(r.messages, "K84").select("message_key", "msg_offset", "cluster_id", "total_stores", "stores_done")
         ),
-        "find_store": _mid(lambda r: _found(status.store_of(r.stores, "K100", "S1"))),
-        "find_stores": _mid(lambda r: _found(status.stores_of(r.stores, "K100"))),
+        "find_store": _mid(lambda r: _found(status.store_of(r.stores, "K84", "S2"))),
+        "find_stores": _mid(lambda r: _found(status.stores_of(r.stores, "K84"))),
         "open_state": _mid(_open_state),
         "expired_open_topk": _mid(lambda r: status.expired_open(r.stores, MID, r.config.worklist_size)),
         "stalled_stores_topk": _mid(lambda r: status.stalled_stores(r.stores, MID, r.config)),
@@ -210,7 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dash_d08_store_completion": _end(lambda r: dash.store_completion(r.store_results)),
         "dash_d09_missing_by_store": _end(lambda r: dash.missing_by_store(r.store_results)),
         "dash_d10_missing_machines_by_store": _end(lambda r: dash.missing_machines_by_store(r.pos_results)),
-        "dash_d11_store_lookup": _end(lambda r: dash.store_lookup(r.store_results, "K100", "S1")),
+        "dash_d11_store_lookup": _end(lambda r: dash.store_lookup(r.store_results, "K84", "S2")),
         "dash_d12_latency": _end(lambda r: dash.latency(r.message_results)),
         "dash_d13_delivery_window": _end(lambda r: dash.delivery_window(r.message_results)),
         "dash_d14_problem_trend": _end(lambda r: dash.problem_trend(r.message_results)),

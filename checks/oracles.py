@@ -197,14 +197,14 @@ def all_sql() -> dict[str, str]:
         "store_documents": over(DOCUMENTS),
         "event_json": over(EVENT_JSON),
         "status_snapshot": _mid(STATUS),
-        "find_message": _mid(f"select message_key, msg_offset, cluster_id, total_stores, stores_done from msg where {OPEN} and message_key = 'K100'"),
+        "find_message": _mid(f"select message_key, msg_offset, cluster_id, total_stores, stores_done from msg where {OPEN} and message_key = 'K84'"),
         "find_store": _mid(
             f"""select message_key, msg_offset, store_number, state, expected, cast(responded as bigint) as responded
-                from {OPEN_STORES} where message_key = 'K100' and store_number = 'S1'"""
+                from {OPEN_STORES} where message_key = 'K84' and store_number = 'S2'"""
         ),
         "find_stores": _mid(
             f"""select message_key, msg_offset, store_number, state, expected, cast(responded as bigint) as responded
-                from {OPEN_STORES} where message_key = 'K100' order by store_number"""
+                from {OPEN_STORES} where message_key = 'K84' order by store_number"""
         ),
         "open_state": _mid(f"select message_key, msg_offset, store_number, state, expire_at from {OPEN_STORES}"),
         "expired_open_topk": _mid(f"select * from {EXPIRED}"),
@@ -280,11 +280,11 @@ def all_sql() -> dict[str, str]:
         ),
         "dash_d11_store_lookup": over(
             f"""select state, pos_completion_pct, missing_pos_count from ({STORE_NEWEST.format(by='message_key, store_number')})
-                where message_key = 'K100' and store_number = 'S1'"""
+                where message_key = 'K84' and store_number = 'S2'"""
         ),
         "dash_d12_latency": over(
-            f"""select {half_hour}, avg(last_consumer_ack_ms) / 1000 as avg_sec, quantile_cont(last_consumer_ack_ms, 0.5) / 1000 as p50_sec,
-                       quantile_cont(last_consumer_ack_ms, 0.95) / 1000 as p95_sec, quantile_cont(last_consumer_ack_ms, 0.99) / 1000 as p99_sec
+            f"""select {half_hour}, avg(last_consumer_ack_ms) / 1000 as avg_sec, round(quantile_cont(last_consumer_ack_ms, 0.5) / 1000, 6) as p50_sec,
+                       round(quantile_cont(last_consumer_ack_ms, 0.95) / 1000, 6) as p95_sec, round(quantile_cont(last_consumer_ack_ms, 0.99) / 1000, 6) as p99_sec
                 from message_results group by 1"""
         ),
         "dash_d13_delivery_window": over(

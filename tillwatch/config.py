@@ -35,6 +35,6 @@ class TrackingConfig:
     stalled_minutes: int = STALLED_MINUTES
     days_ahead: int = DAYS_AHEAD
     days_to_retain: int = DAYS_TO_RETAIN
-    segment_seconds: int = 3600
+    segment_seconds: int = 300
     rows_per_task: int = 2_000_000
     max_hot_groups: int = 1000

@@ -87,21 +87,22 @@ def in_window(config: TrackingConfig) -> Column:
     return F.coalesce(F.col("received_at") < cutoff(config), F.lit(False))
 
 
-def with_outcome(attributed: DataFrame, stores: DataFrame, config: TrackingConfig) -> DataFrame:
+def with_outcome(attributed: DataFrame, completion: DataFrame, config: TrackingConfig) -> DataFrame:
     """Add ``reject_reason`` to each response: null if accepted, else why it is stale.
 
-    ``stores`` has one row per store of an episode, with ``done`` (the response that completed it) and
-    ``n_responses``.
+    ``completion`` is the staged ``store_progress``: one row per store that got a response in time or is
+    known, with ``done``, the response that completed it. Only responses in time need it.
     """
-    known = stores.select(*STORE, "done", F.lit(True).alias("_known"), F.col("n_responses").alias("_n"))
-    joined = spread_join(attributed, known, STORE, ["seq"], "_n", config, how="left")
-    reason = (
-        F.when(F.col("published_at").isNull(), F.lit(UNKNOWN_KEY))
-        .when(~in_window(config), F.lit(AFTER_CUTOFF))
-        .when(F.col("_known").isNull(), F.lit(UNKNOWN_STORE))
-        .when(F.col("done").isNotNull() & ~at_or_before(F.struct("received_at", "seq"), F.col("done")), F.lit(STORE_DONE))
+    in_time = attributed.filter(in_window(config))
+    stores = completion.select(*STORE, "known", "done", F.col("n_responses").alias("_n"))
+    after_done = F.col("done").isNotNull() & ~at_or_before(F.struct("received_at", "seq"), F.col("done"))
+    judged = spread_join(in_time, stores, STORE, ["seq"], "_n", config).withColumn(
+        "reject_reason", F.when(~F.col("known"), F.lit(UNKNOWN_STORE)).when(after_done, F.lit(STORE_DONE))
     )
-    return joined.withColumn("reject_reason", reason).drop("_known", "done")
+    too_late = attributed.filter(~in_window(config)).withColumn(
+        "reject_reason", F.when(F.col("published_at").isNull(), F.lit(UNKNOWN_KEY)).otherwise(F.lit(AFTER_CUTOFF))
+    )
+    return judged.drop("known", "done").unionByName(too_late)
 
 
 def stale(outcomes: DataFrame) -> DataFrame:

@@ -81,7 +81,10 @@ def repeated_progress(hosts: DataFrame, attributed: DataFrame, config: TrackingC
 
 
 def store_progress(hosts: DataFrame) -> DataFrame:
-    """One row per known store: expected and responded units, and ``done``, the response that completed it."""
+    """One row per store: expected and responded units, and ``done``, the response that completed it.
+
+    A store that only responses name is not ``known``.
+    """
     owed = F.when(F.size("progress") == F.col("units"), F.element_at("progress", -1))
     any_first = F.struct("first_response.received_at", "first_response.seq")
     return (
@@ -96,19 +99,19 @@ def store_progress(hosts: DataFrame) -> DataFrame:
             F.sum("n_responses").alias("n_responses"),
             F.count("*").alias("n_hosts"),
         )
-        .filter("known")
         .withColumn(
             "done",
             F.when(F.col("expected") == 0, F.col("_any")).when(F.col("responded") == F.col("expected"), F.col("_all_owed")),
         )
-        .drop("known", "_all_owed", "_any")
+        .drop("_all_owed", "_any")
     )
 
 
 def with_done(hosts: DataFrame, stores: DataFrame, config: TrackingConfig) -> DataFrame:
     """Machines of known stores with the completion of their store. ``stores`` is the staged ``store_progress``."""
-    done = stores.select(*STORE, "done", "expected", "responded", "n_hosts")
-    return spread_join(hosts, done, STORE, ["pos_hostname"], "n_hosts", config).drop("known")
+    done = stores.select(*STORE, F.col("known").alias("_known"), "done", "expected", "responded", "n_hosts")
+    joined = spread_join(hosts, done, STORE, ["pos_hostname"], "n_hosts", config)
+    return joined.filter("_known").drop("known", "_known")
 
 
 def straddles() -> Column:
@@ -127,14 +130,15 @@ def _starts_before() -> Column:
 def latest_by_ends(hosts: DataFrame) -> DataFrame:
     """Add ``latest``, the last accepted answer, to machines whose first and last answer settle it."""
     latest = F.when(~_cut_off(), F.col("last_response")).when(_starts_before(), F.col("first_response"))
-    return hosts.withColumn("latest", latest)
+    return hosts.withColumn("latest", latest).drop("first_response", "last_response")
 
 
 def latest_by_lookup(hosts: DataFrame, attributed: DataFrame, config: TrackingConfig) -> DataFrame:
     """Add ``latest`` to staged machines that straddle the completion of their store, from their raw answers."""
     raw = attributed.filter(in_window(config)).select(*HOST, _response().alias("response"), "seq")
     found = spread_join(raw, hosts.withColumn("_n", F.col("n_responses")), HOST, ["seq"], "_n", config)
-    return found.filter(at_or_before(F.col("response"), F.col("done"))).groupBy(*hosts.columns).agg(F.max("response").alias("latest"))
+    kept = [c for c in hosts.columns if c not in ("first_response", "last_response")]
+    return found.filter(at_or_before(F.col("response"), F.col("done"))).groupBy(*kept).agg(F.max("response").alias("latest"))
 
 
 def missing_units() -> Column:

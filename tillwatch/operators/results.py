@@ -64,7 +64,7 @@ def checkpoint_events(hosts: DataFrame, stores: DataFrame, messages: DataFrame,
     crossed = (
         progress.crossings(progress.steps(hosts, config), config)
         .select(*STORE, "checkpoint_pct", "expected", F.col("nth").alias("responded"), F.col("received_at").alias("event_ts"))
-        .join(stores.select(*STORE, "location_id"), STORE)
+        .join(stores.select(*STORE, "location_id", "cluster_id", "expire_at"), STORE)
     )
     # Without expected machines the first response completes the store.
     reached = fn.highest_checkpoint(F.lit(100), config.checkpoints)
@@ -75,10 +75,10 @@ def checkpoint_events(hosts: DataFrame, stores: DataFrame, messages: DataFrame,
         "responded",
         F.col("done.received_at").alias("event_ts"),
         "location_id",
+        "cluster_id",
+        "expire_at",
     )
-    events = crossed.unionByName(at_once.filter("checkpoint_pct > 0")).join(
-        messages.select(*EPISODE, "cluster_id", "expire_at", "first_published_at"), EPISODE
-    )
+    events = settle.with_chain_start(crossed.unionByName(at_once.filter("checkpoint_pct > 0")), messages, config)
     return _store_event(
         events.withColumn("state", F.when(F.col("responded") >= F.col("expected"), v.DONE).otherwise(v.PARTIAL)).withColumn(
             "flags", fn.flags(**{v.LATE_POS_RESPONSE: settle.late(config, "event_ts")})
@@ -90,7 +90,7 @@ def final_events(stores: DataFrame, messages: DataFrame, config: TrackingConfig)
     """Store events at settlement, for stores that have not passed checkpoint 100."""
     finished = stores.filter(F.col("finalized_at").isNotNull() & (progress.last_checkpoint(config) < 100))
     return _store_event(
-        finished.join(messages.select(*EPISODE, "first_published_at"), EPISODE)
+        settle.with_chain_start(finished, messages, config)
         .withColumn("flags", settle.store_flags(config))
         .withColumn("checkpoint_pct", F.lit(100))
         .withColumn("event_ts", F.col("finalized_at"))
@@ -106,9 +106,9 @@ def pos_results(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config
     """Events of problem machines at settlement of their store: one per missing answer, one per bad status."""
     bad = F.col("latest.status").isin(v.FAILED, v.DELIVERED_NO_ACK)
     per_store = stores.filter("finalized_at is not null").select(
-        *STORE, "cluster_id", F.col("location_id"), "expire_at", F.col("finalized_at").alias("event_ts"), "n_hosts"
+        *STORE, "cluster_id", "location_id", "expire_at", F.col("finalized_at").alias("event_ts"), "n_hosts"
     )
-    per_store = per_store.join(messages.select(*EPISODE, "first_published_at"), EPISODE)
+    per_store = settle.with_chain_start(per_store, messages, config)
     missing = (
         hosts.filter(progress.missing_units() > 0)
         .select(*HOST, F.explode(F.sequence(F.lit(1), progress.missing_units().cast("int"))).alias("_"))

@@ -12,6 +12,7 @@ from tillwatch.config import TrackingConfig
 from tillwatch.functions import scalar as fn
 from tillwatch.operators.attribution import cutoff
 from tillwatch.operators.episodes import publish_flags
+from tillwatch.operators.spread import spread_join
 from tillwatch.schemas import EPISODE
 
 
@@ -21,7 +22,7 @@ def settle_stores(stores: DataFrame, episodes: DataFrame, config: TrackingConfig
     A store is final when complete, else at its cutoff unless its message is replaced before that. A null
     finalized_at means open at ``as_of``, or dropped when the message was replaced.
     """
-    joined = stores.join(episodes, EPISODE)
+    joined = spread_join(stores, episodes.withColumn("_n", F.col("total_stores")), EPISODE, ["store_number"], "_n", config)
     next_at = F.col("next_published_at")
     by_clock = next_at.isNull() | (cutoff(config) <= next_at)
     if as_of is not None:
@@ -58,6 +59,7 @@ def settle_messages(stores: DataFrame) -> DataFrame:
             F.count_if(final & ~F.col("state").isin(v.DONE, v.TIMED_OUT)).alias("stores_partial"),
             F.count_if(final & (F.col("state") == v.TIMED_OUT)).alias("stores_timed_out"),
             F.max("finalized_at").alias("last_settled_at"),
+            F.sum("n_responses").alias("n_responses"),
             F.sum("missing").alias("missing"),
             F.sum("unacked").alias("unacked"),
             F.max("last_received_at").alias("last_received_at"),
@@ -70,6 +72,14 @@ def settle_messages(stores: DataFrame) -> DataFrame:
     )
 
 
+def with_chain_start(
+    rows: DataFrame, messages: DataFrame, config: TrackingConfig, weight: str = "total_stores", spread_by: str = "store_number"
+) -> DataFrame:
+    """Add the first publish of the chain to rows of episodes: to stores, or with other weights to responses."""
+    start = messages.select(*EPISODE, "first_published_at", F.col(weight).alias("_n"))
+    return spread_join(rows, start, EPISODE, [spread_by], "_n", config)
+
+
 def late(config: TrackingConfig, received_at: str = "last_received_at") -> Column:
     """An accepted response came more than the allowed whole minutes after the first publish of the chain."""
     lag = fn.whole_minutes("first_published_at", received_at)

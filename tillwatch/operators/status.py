@@ -52,7 +52,7 @@ def _missing_hosts(hosts: DataFrame) -> DataFrame:
 
 def store_details(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig) -> DataFrame:
     """One row per open store, with the names of its missing machines."""
-    still_open = open_stores(stores).join(open_messages(messages).select(*EPISODE, "first_published_at"), EPISODE)
+    still_open = settle.with_chain_start(open_stores(stores), messages, config)
     return still_open.join(_missing_hosts(hosts), STORE, "left").select(
         *EPISODE,
         "store_number",

@@ -123,7 +123,7 @@ def latency(messages: DataFrame, since: datetime | None = None) -> DataFrame:
     rows = recent(messages, since).select(_slot("30 minutes"), "last_consumer_ack_ms")
     mean = rows.groupBy("slot").agg((F.avg("last_consumer_ack_ms") / 1000).alias("avg_sec"))
     ranked = percentiles(rows, ["slot"], "last_consumer_ack_ms", SHARES, LATENCY_SLICE_MS)
-    return mean.join(ranked, "slot", "left").select("slot", "avg_sec", *[(F.col(p) / 1000).alias(f"{p}_sec") for p in SHARES])
+    return mean.join(ranked, "slot", "left").select("slot", "avg_sec", *[F.round(F.col(p) / 1000, 6).alias(f"{p}_sec") for p in SHARES])
 
 
 def latency_approx(messages: DataFrame, since: datetime | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ class Inputs:
 class TrackingRun:
     """Tables of one run, each computed when first asked for.
 
-    The five tables that feed several others are written to the workspace once; the result tables are
+    The tables that feed several others are written to the workspace once; the result tables are
     plans over them.
     """
 
@@ -89,11 +89,15 @@ class TrackingRun:
         ranked = progress.repeated_progress(several, self.attributed, self.config)
         return self.workspace.stage(facts.filter(~progress.owes_several()).unionByName(ranked), "machines")
 
+    @cached_property
+    def completion(self) -> DataFrame:
+        """Stores with the response that completed them."""
+        return self.workspace.stage(progress.store_progress(self.machines), "completion")
+
     @cached_property
     def hosts(self) -> DataFrame:
         """Machines of known stores with their last accepted answer."""
-        completion = self.workspace.stage(progress.store_progress(self.machines), "completion")
-        rows = progress.with_done(self.machines, completion, self.config)
+        rows = progress.with_done(self.machines, self.completion, self.config)
         straddling = self.workspace.stage(rows.filter(progress.straddles()), "straddling")
         if straddling.isEmpty():
             return self.workspace.stage(progress.latest_by_ends(rows), "hosts")
@@ -119,7 +123,7 @@ class TrackingRun:
     @cached_property
     def outcomes(self) -> DataFrame:
         """Responses with the reason they are ignored, if they are."""
-        return attribution.with_outcome(self.attributed, self.stores, self.config)
+        return attribution.with_outcome(self.attributed, self.completion, self.config)
 
     @cached_property
     def message_results(self) -> DataFrame:
