@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tillwatch.config import TrackingConfig
 from tillwatch.functions import scalar as fn
+from tillwatch.operators.episodes import KEY
+from tillwatch.operators.scan import only_heavy, with_slice
 from tillwatch.operators.spread import assign_part, heaviest, repeat_parts, spread_join
 from tillwatch.schemas import HOST, STORE
 
@@ -17,17 +19,24 @@ UNKNOWN_STORE = "UNKNOWN_STORE"
 STORE_DONE = "STORE_DONE"
 
 
-def time_slices(responses: DataFrame, publishes: DataFrame, config: TrackingConfig) -> DataFrame:
-    """One row per key and time slice: responses in it, and the newest publish before it.
+def _starts(publishes: DataFrame) -> DataFrame:
+    return publishes.select("message_key", F.col("published_at").alias("_at"), _publish().alias("_publish"))
 
-    Small beside the responses, since a key has at most one row per slice.
-    """
-    keys = ["message_key", "_segment"]
-    sent = _sent(publishes, config).groupBy(*keys).agg(F.max("_publish").alias("newest"))
-    asked = _asked(responses, config).groupBy(*keys).agg(F.count("*").alias("n"))
-    earlier = W.partitionBy("message_key").orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
+
+def _publish() -> Column:
+    return F.struct("published_at", "msg_offset", "expire_at")
+
+
+def time_slices(responses: DataFrame, publishes: DataFrame, heavy: DataFrame, config: TrackingConfig) -> DataFrame:
+    """One row per heavy key and time slice with responses: their number, and the newest publish before it."""
+    sent = with_slice(only_heavy(_starts(publishes), KEY, heavy), KEY, "_at", heavy, config)
+    asked = with_slice(only_heavy(responses, KEY, heavy), KEY, "received_at", heavy, config)
+    keys = [*KEY, "_slice"]
+    earlier = W.partitionBy(*KEY).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     return (
-        sent.unionByName(asked, allowMissingColumns=True)
+        sent.groupBy(*keys)
+        .agg(F.max("_publish").alias("newest"))
+        .unionByName(asked.groupBy(*keys).agg(F.count("*").alias("n")), allowMissingColumns=True)
         .groupBy(*keys)
         .agg(F.max("newest").alias("newest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         .select(*keys, F.max("newest").over(earlier).alias("_publish"), "n")
@@ -35,42 +44,31 @@ def time_slices(responses: DataFrame, publishes: DataFrame, config: TrackingConf
     )
 
 
-def _sent(publishes: DataFrame, config: TrackingConfig) -> DataFrame:
-    return publishes.select(
-        "message_key",
-        fn.segment_of("published_at", config.segment_seconds).alias("_segment"),
-        F.col("published_at").alias("_at"),
-        F.struct("published_at", "msg_offset", "expire_at").alias("_publish"),
-    )
-
-
-def _asked(responses: DataFrame, config: TrackingConfig) -> DataFrame:
-    return responses.withColumn("_segment", fn.segment_of("received_at", config.segment_seconds))
-
-
-def attribute(responses: DataFrame, publishes: DataFrame, slices: DataFrame, config: TrackingConfig) -> DataFrame:
+def attribute(
+    responses: DataFrame, publishes: DataFrame, heavy: DataFrame | None, slices: DataFrame | None, config: TrackingConfig
+) -> DataFrame:
     """As-of join: add published_at, msg_offset, expire_at of the publish, null where there is none.
 
-    ``slices`` is the staged result of ``time_slices``. Key and time slice partition the scan; a slice with
-    very many responses is spread further by a hash of ``seq``, with its publishes repeated, since
-    responses need no order among themselves.
+    One scan per key over publishes and responses in order. A heavy key is scanned in time slices, which
+    the staged result of ``time_slices`` describes; a slice with very many responses is spread further by
+    a hash of ``seq``, with its publishes repeated, since responses need no order among themselves.
     """
-    keys = ["message_key", "_segment"]
-    answers = _asked(responses, config).withColumn("_at", F.col("received_at")).withColumn("_kind", F.lit(2))
-    starts = _sent(publishes, config).withColumn("_kind", F.lit(1))
-    heads = slices.filter("_publish is not null").drop("n").withColumn("_kind", F.lit(0))
-    heavy = heaviest(slices, keys, "n", config)
-    group = keys
-    if heavy is not None:
-        group = [*keys, "_part"]
-        answers = assign_part(answers, heavy, keys, ["seq"])
-        starts = repeat_parts(starts, heavy, keys)
-        heads = repeat_parts(heads, heavy, keys)
+    answers = with_slice(responses, KEY, "received_at", heavy, config).withColumn("_at", F.col("received_at"))
+    starts = with_slice(_starts(publishes), KEY, "_at", heavy, config)
+    answers, starts = answers.withColumn("_kind", F.lit(2)), starts.withColumn("_kind", F.lit(1))
+    group = [*KEY, "_slice"]
+    if slices is not None:
+        heads = slices.filter("_publish is not null").drop("n").withColumn("_kind", F.lit(0))
+        starts = starts.unionByName(heads, allowMissingColumns=True)
+        crowded = heaviest(slices, group, "n", config)
+        if crowded is not None:
+            answers = assign_part(answers, crowded, group, ["seq"])
+            starts = repeat_parts(starts, crowded, group)
+            group = [*group, "_part"]
     # Heads have no time and sort first; at equal times a publish comes before a response.
     upto = W.partitionBy(*group).orderBy("_at", "_kind", "_publish").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         answers.unionByName(starts, allowMissingColumns=True)
-        .unionByName(heads, allowMissingColumns=True)
         .withColumn("_publish", F.last("_publish", ignorenulls=True).over(upto))
         .filter("_kind = 2")
         .select(*responses.columns, "_publish.*")

@@ -9,6 +9,7 @@ before the shuffle. Only responses around the completion of a store need a secon
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwatch import vocabulary as v
@@ -109,9 +110,9 @@ def store_progress(hosts: DataFrame) -> DataFrame:
 
 def with_done(hosts: DataFrame, stores: DataFrame, config: TrackingConfig) -> DataFrame:
     """Machines of known stores with the completion of their store. ``stores`` is the staged ``store_progress``."""
-    done = stores.select(*STORE, F.col("known").alias("_known"), "done", "expected", "responded", "n_hosts")
-    joined = spread_join(hosts, done, STORE, ["pos_hostname"], "n_hosts", config)
-    return joined.filter("_known").drop("known", "_known")
+    done = stores.select(*STORE, F.col("known").alias("_known"), "location_id", "done", "expected", "responded", "n_hosts")
+    joined = spread_join(hosts.drop("known", "location_id"), done, STORE, ["pos_hostname"], "n_hosts", config)
+    return joined.filter("_known").drop("_known")
 
 
 def straddles() -> Column:
@@ -154,12 +155,9 @@ def store_facts(hosts: DataFrame) -> DataFrame:
     def any_of(condition: Column) -> Column:
         return F.coalesce(F.bool_or(condition), F.lit(False))
 
-    return hosts.groupBy(*STORE).agg(
-        F.max("location_id").alias("location_id"),
-        F.max("expected").alias("expected"),
-        F.max("responded").alias("responded"),
+    # What all machines of a store share is grouped by, so that only numbers and times are aggregated.
+    return hosts.groupBy(*STORE, "location_id", "expected", "responded", "done").agg(
         F.sum(missing_units()).alias("missing"),
-        F.max("done").alias("done"),
         F.sum("n_responses").alias("n_responses"),
         F.count("*").alias("n_hosts"),
         (any_of(confirmed) & any_of(status == v.DELIVERED_NO_ACK)).alias("conflicting"),
@@ -170,13 +168,18 @@ def store_facts(hosts: DataFrame) -> DataFrame:
     )
 
 
-def steps(hosts: DataFrame, config: TrackingConfig) -> DataFrame:
-    """Every response that advances a store, with ``nth``, its number within the store."""
+def steps(hosts: DataFrame, completion: DataFrame, config: TrackingConfig) -> DataFrame:
+    """Every response that advances a store, with ``nth``, its number within the store.
+
+    ``completion`` is the staged ``store_progress``; if no store in it is heavy, one window does.
+    """
     advancing = (
         hosts.filter(F.size("progress") > 0)
         .select(*STORE, "expected", F.explode("progress").alias("_at"))
         .select(*STORE, "expected", "_at.*")
     )
+    if completion.filter(F.col("responded") > config.rows_per_task).isEmpty():
+        return advancing.withColumn("nth", F.row_number().over(W.partitionBy(*STORE).orderBy("received_at", "seq")).cast("long"))
     return running_total(
         advancing,
         STORE,

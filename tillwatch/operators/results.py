@@ -59,10 +59,12 @@ def _store_event(rows: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint_events(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig) -> DataFrame:
+def checkpoint_events(
+    hosts: DataFrame, completion: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig
+) -> DataFrame:
     """Store events at checkpoints. At that moment a store is not examined yet, so only LATE can be known."""
     crossed = (
-        progress.crossings(progress.steps(hosts, config), config)
+        progress.crossings(progress.steps(hosts, completion, config), config)
         .select(*STORE, "checkpoint_pct", "expected", F.col("nth").alias("responded"), F.col("received_at").alias("event_ts"))
         .join(stores.select(*STORE, "location_id", "cluster_id", "expire_at"), STORE)
     )
@@ -97,9 +99,11 @@ def final_events(stores: DataFrame, messages: DataFrame, config: TrackingConfig)
     )
 
 
-def store_results(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig) -> DataFrame:
+def store_results(
+    hosts: DataFrame, completion: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig
+) -> DataFrame:
     """Checkpoint and settlement events of all stores."""
-    return checkpoint_events(hosts, stores, messages, config).unionByName(final_events(stores, messages, config))
+    return checkpoint_events(hosts, completion, stores, messages, config).unionByName(final_events(stores, messages, config))
 
 
 def pos_results(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.config import TrackingConfig
 from tillwatch.operators import attribution, episodes, progress, results, settle
+from tillwatch.operators.spread import heaviest
 from tillwatch.session import Workspace
 
 
@@ -46,8 +47,8 @@ class Inputs:
 class TrackingRun:
     """Tables of one run, each computed when first asked for.
 
-    The tables that feed several others are written to the workspace once; the result tables are
-    plans over them.
+    Tables that feed several others, and the two large result tables, are written to the workspace once;
+    message results are a projection of one of them.
     """
 
     def __init__(
@@ -64,17 +65,25 @@ class TrackingRun:
 
     # --- tables written once ---------------------------------------------------------------
 
+    @cached_property
+    def heavy_keys(self) -> DataFrame | None:
+        """Keys with so many publishes or responses that no single task should scan one; None if there are none."""
+        sizes = self.workspace.stage(episodes.key_sizes(self.inputs.publishes, self.inputs.responses), "key_sizes")
+        return heaviest(sizes, episodes.KEY, "n_rows", self.config)
+
     @cached_property
     def episodes(self) -> DataFrame:
         """Publishes with their neighbours."""
-        return self.workspace.stage(episodes.with_neighbours(self.inputs.publishes, self.config), "episodes")
+        return self.workspace.stage(episodes.with_neighbours(self.inputs.publishes, self.heavy_keys, self.config), "episodes")
 
     @cached_property
     def attributed(self) -> DataFrame:
         """Responses with the publish they answer."""
-        responses, config = self.inputs.responses, self.config
-        slices = self.workspace.stage(attribution.time_slices(responses, self.episodes, config), "slices")
-        return self.workspace.stage(attribution.attribute(responses, self.episodes, slices, config), "attributed")
+        responses, heavy, config = self.inputs.responses, self.heavy_keys, self.config
+        slices = None
+        if heavy is not None:
+            slices = self.workspace.stage(attribution.time_slices(responses, self.episodes, heavy, config), "slices")
+        return self.workspace.stage(attribution.attribute(responses, self.episodes, heavy, slices, config), "attributed")
 
     @cached_property
     def machines(self) -> DataFrame:
@@ -114,11 +123,13 @@ class TrackingRun:
     @cached_property
     def messages(self) -> DataFrame:
         """Episodes with counters, chain, state and flags."""
-        settled = self.workspace.stage(settle.settle_messages(self.stores), "settled")
-        chained = episodes.with_chain(settled, self.config)
+        settled = settle.settle_messages(self.stores)
+        if self.heavy_keys is not None:
+            settled = self.workspace.stage(settled, "settled")
+        chained = episodes.with_chain(settled, self.heavy_keys, self.config)
         return self.workspace.stage(settle.finish_messages(chained, self.config), "messages")
 
-    # --- plans over them -------------------------------------------------------------------
+    # --- results ---------------------------------------------------------------------------
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -131,8 +142,9 @@ class TrackingRun:
 
     @cached_property
     def store_results(self) -> DataFrame:
-        return results.store_results(self.hosts, self.stores, self.messages, self.config)
+        events = results.store_results(self.hosts, self.completion, self.stores, self.messages, self.config)
+        return self.workspace.stage(events, "store_results")
 
     @cached_property
     def pos_results(self) -> DataFrame:
-        return results.pos_results(self.hosts, self.stores, self.messages, self.config)
+        return self.workspace.stage(results.pos_results(self.hosts, self.stores, self.messages, self.config), "pos_results")
