@@ -6,7 +6,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from tests import cases
-from tillwatch import TrackingConfig
+from tillwatch import TrackingConfig, job
 from tillwatch.operators import documents, retention, status
 from tillwatch.plans import dashboards
 from tillwatch.plans.tracking import TrackingRun
@@ -113,3 +113,15 @@ def test_state_tables(spark, tmp_path):
     kept = retention.retained(spark.read.parquet(str(tmp_path / "state")), date(2026, 2, 22), TrackingConfig())
     assert [r.message_key for r in kept.collect()] == ["b"]
     assert "PartitionFilters: [isnotnull(expire_date" in kept._jdf.queryExecution().toString()
+
+
+def test_job(spark, tmp_path):
+    publishes = lines(tmp_path / "publish", PUBLISH, {**PUBLISH, "messageKey": " "}, PUBLISH)
+    answers = lines(tmp_path / "response", RESPONSE)
+    out = str(tmp_path / "out")
+    job.track(spark, publishes, answers, out, "json", None, TrackingConfig())
+    assert spark.read.parquet(f"{out}/message_results").first().state == "DEGRADED"
+    assert spark.read.parquet(f"{out}/rejected_publishes").count() == 1
+    job.track(spark, publishes, answers, out, "json", cases.utc(datetime(2026, 2, 17, 10, 30)), TrackingConfig())
+    assert spark.read.parquet(f"{out}/open_stores").count() == 2
+    assert spark.read.json(f"{out}/status").first().state == "PENDING"
