@@ -184,7 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "store_progress_mid": _mid(_store_progress),
         "status_snapshot": _mid(lambda r: status.status_rows(r.hosts, r.stores, r.messages, r.config)),
         "find_message": _mid(
-            lambda r: status.message_of(r.messages, "K84").select("message_key", "msg_offset", "cluster_id", "total_stores", "stores_done")
+            lambda r: status.message_of(r.messages, "K84").select("message_key", "msg_offset", "cluster_id", F.col("total_stores").cast("long").alias("total_stores"), "stores_done")
         ),
         "find_store": _mid(lambda r: _found(status.store_of(r.stores, "K84", "S2"))),
         "find_stores": _mid(lambda r: _found(status.stores_of(r.stores, "K84"))),

@@ -16,6 +16,7 @@ from tillwatch.schemas import EPISODE, STORE
 EXPIRED_STORE = "EXPIRED_STORE"
 STALLED_STORE = "STALLED_STORE"
 STALLED_MESSAGE = "STALLED_MESSAGE"
+READING_ORDER = ["message_key", "published_at", "msg_offset"]
 
 
 def open_messages(messages: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def expired_open(stores: DataFrame, as_of: datetime, limit: int) -> DataFrame:
     return (
         open_stores(stores)
         .filter((F.col("expire_at") < at) & F.col("state").isin(v.PENDING, v.PARTIAL))
-        .orderBy("expire_at", *STORE)
+        .orderBy("expire_at", *READING_ORDER, "store_number")
         .limit(limit)
         .select("message_key", "msg_offset", "store_number", "state", "expire_at")
     )
@@ -140,7 +141,7 @@ def stalled_stores(stores: DataFrame, as_of: datetime, config: TrackingConfig) -
         open_stores(stores)
         .withColumn("last_activity", _last_activity())
         .filter(F.col("last_activity") < before)
-        .orderBy("last_activity", *STORE)
+        .orderBy("last_activity", *READING_ORDER, "store_number")
         .limit(config.worklist_size)
         .select("message_key", "msg_offset", "store_number", "state", "last_activity")
     )
@@ -153,7 +154,7 @@ def stalled_messages(messages: DataFrame, as_of: datetime, config: TrackingConfi
         open_messages(messages)
         .withColumn("last_activity", _last_activity())
         .filter(F.col("last_activity") < before)
-        .orderBy("last_activity", *EPISODE)
+        .orderBy("last_activity", *READING_ORDER)
         .limit(config.worklist_size)
         .select("message_key", "msg_offset", "state", "last_activity")
     )

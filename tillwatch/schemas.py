@@ -80,7 +80,8 @@ POS_STATUS = T.StructType(
     ]
 )
 
-# One publish, and one store of one publish. A publish is named by its key, time and offset.
-EPISODE = ["message_key", "published_at", "msg_offset"]
+# One publish, one store of a publish, one machine of a store. A publish is named by its key, time and
+# offset; the offset differs most often, so it comes first where rows are sorted by these.
+EPISODE = ["msg_offset", "published_at", "message_key"]
 STORE = [*EPISODE, "store_number"]
 HOST = [*STORE, "pos_hostname"]
