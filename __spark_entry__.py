@@ -200,6 +200,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validation_rejects": lambda spark, folder: _plain(samples.rejects(tune(spark), folder)),
         "ack_parsing": lambda spark, folder: _plain(samples.acknowledgements(tune(spark), folder)),
         "dash_d01_messages_by_state": _end(lambda r: dash.messages_by_state(r.message_results)),
+        "dash_d01_last_day": _mid(lambda r: dash.messages_by_state(r.message_results, dash.ago(MID, days=1))),
+        "dash_d08_last_day": _mid(lambda r: dash.store_completion(r.store_results, dash.ago(MID, days=1))),
+        "dash_d09_last_day": _mid(lambda r: dash.missing_by_store(r.store_results, dash.ago(MID, days=1))),
         "dash_d02_inconsistency_rate": _end(lambda r: dash.inconsistency_rate(r.message_results)),
         "dash_d03_inconsistency_breakdown": _end(lambda r: dash.inconsistency_breakdown(r.message_results)),
         "dash_d04_replaced_per_hour": _end(lambda r: dash.replaced_per_hour(r.message_results)),

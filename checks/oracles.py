@@ -140,6 +140,9 @@ from slots where slot_end <= (select max(ts) - interval '10' minute from events)
 """
 
 
+LAST_DAY = f"event_ts >= timestamp '{MID}' - interval '1' day"
+
+
 def all_sql() -> dict[str, str]:
     messages = "select * from message_results"
     half_hour = "time_bucket(interval '30' minute, event_ts) as slot"
@@ -246,6 +249,15 @@ def all_sql() -> dict[str, str]:
             "interval '10:05:23' hour to second", "to_milliseconds(36323000)"
         ),
         "dash_d01_messages_by_state": over(f"select {hour}, state, count(*) as n from message_results group by 1, 2"),
+        "dash_d01_last_day": _mid(f"select {hour}, state, count(*) as n from message_results where {LAST_DAY} group by 1, 2"),
+        "dash_d08_last_day": _mid(
+            f"""select message_key, store_number, pos_completion_pct, state
+                from ({STORE_NEWEST.format(by='message_key, store_number')}) where {LAST_DAY}"""
+        ),
+        "dash_d09_last_day": _mid(
+            f"""select store_number, cast(sum(missing_pos_count) as bigint) as missing_pos from store_results
+                where state in ('DONE', 'TIMED_OUT') and {LAST_DAY} group by store_number order by 2 desc, 1 limit 20"""
+        ),
         "dash_d02_inconsistency_rate": over(
             "select 100.0e0 * count(*) filter (where has_inconsistency) / count(*) as pct_inconsistent from message_results"
         ),

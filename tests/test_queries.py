@@ -46,6 +46,14 @@ def test_sizes(spark):
     assert {r.state: r["count"] for r in run.messages.groupBy("state").count().collect()} == {"DONE": 611, "DEGRADED": 571, "REPLACED": 291}
 
 
+def test_dashboards_read_few_columns(spark):
+    plan = entry.queries()["dash_d09_last_day"](spark, FOLDER)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "ReadSchema: struct<store_number:string,state:string,missing_pos_count:bigint,event_ts:timestamp>" in plan
+    assert "GreaterThanOrEqual(event_ts" in plan
+
+
 def test_messages_partition(spark):
     run = entry._run(spark, FOLDER, "mid")
     states = {r.state: r["count"] for r in run.messages.groupBy("state").count().collect()}

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import json
 from datetime import date, datetime
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests import cases
@@ -10,7 +12,7 @@ from tillwatch import TrackingConfig, job
 from tillwatch.operators import documents, retention, status
 from tillwatch.plans import dashboards
 from tillwatch.plans.tracking import TrackingRun
-from tillwatch.session import Workspace
+from tillwatch.session import Workspace, shared_folder
 from tillwatch.sources import events, sinks
 
 PUBLISH = {
@@ -101,6 +103,26 @@ def test_distinct_publishes(spark):
     assert events.distinct_publishes(frame).count() == 2
 
 
+def test_distinct_responses(spark, tmp_path):
+    _, answers = cases.frames(spark, [cases.publish("k", 0)], [cases.respond("k", "s", "a", m, s) for m, s in ((1, 1), (1, 1), (2, 2))])
+    assert events.distinct_responses(answers).count() == 2
+    answers.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schemas.RESPONSE).parquet(str(tmp_path / "in"))
+    writer = events.distinct_responses(stream).writeStream.option("checkpointLocation", str(tmp_path / "offsets"))
+    writer.trigger(availableNow=True).start(str(tmp_path / "out"), "parquet").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_shared_folder():
+    def session(master, **conf):
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs:/c/"})) == "hdfs:/c"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("yarn"))
+
+
 def test_state_tables(spark, tmp_path):
     state = spark.createDataFrame([("a", "s", 1), ("a", "t", 1), ("b", "s", 1)], "message_key string, store_number string, v int")
     settled = state.filter("store_number = 't'")

@@ -1,11 +1,12 @@
 """Dashboard queries over the result tables.
 
-``since`` keeps events from that time on; a table partitioned by event_date is pruned by it.
+``since`` keeps events from that time on, such as ``ago(as_of, days=1)``; files whose times are all older
+are skipped.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +18,11 @@ from tillwatch.operators import status as st
 from tillwatch.operators.percentiles import percentiles
 
 
+def ago(as_of: datetime, **span: float) -> datetime:
+    """Start of a trailing period, as in ``ago(as_of, minutes=30)``."""
+    return as_of - timedelta(**span)
+
+
 def recent(events: DataFrame, since: datetime | None) -> DataFrame:
     return events if since is None else events.filter(F.col("event_ts") >= F.lit(since).cast("timestamp"))
 
@@ -100,9 +106,13 @@ def missing_by_store(stores: DataFrame, since: datetime | None = None, limit: in
     return totals if limit is None else totals.orderBy(F.desc("missing_pos"), "store_number").limit(limit)
 
 
-def missing_machines_by_store(machines: DataFrame, since: datetime | None = None, limit: int = 20) -> DataFrame:
+def missing_machines_by_store(
+    machines: DataFrame, since: datetime | None = None, limit: int = 20, approx: bool = False
+) -> DataFrame:
+    """Top stores by different missing machines; ``approx`` counts them with bounded-size sketches."""
     missing = recent(machines, since).filter(F.col("status") == v.MISSING)
-    distinct = missing.groupBy("store_number").agg(F.countDistinct("pos_hostname").alias("machines"))
+    count = F.approx_count_distinct if approx else F.countDistinct
+    distinct = missing.groupBy("store_number").agg(count("pos_hostname").alias("machines"))
     return distinct.orderBy(F.desc("machines"), "store_number").limit(limit)
 
 
