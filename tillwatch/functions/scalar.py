@@ -116,7 +116,7 @@ def length_of(c: Column | str) -> Column:
 
 def flags(**raised: Column) -> Column:
     """Names of the raised flags, in the order given."""
-    return F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in raised.items()]))
+    return F.array_remove(F.array(*[F.when(on, F.lit(name)).otherwise(F.lit("")) for name, on in raised.items()]), "")
 
 
 def add_flags(c: Column, more: Column) -> Column:

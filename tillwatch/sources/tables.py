@@ -104,6 +104,11 @@ def responses(spark: SparkSession, folder: str, publishes: DataFrame) -> DataFra
 
 
 def inputs(spark: SparkSession, folder: str, workspace: Workspace) -> Inputs:
-    """Publishes, expected machines and responses of an order database."""
+    """Publishes, expected machines and responses of an order database, derived once."""
     sent = workspace.stage(publishes(spark, folder), "publishes")
-    return Inputs(sent, expected(spark, folder, sent), responses(spark, folder, sent), repeated_hosts=False)
+    return Inputs(
+        sent,
+        workspace.stage(expected(spark, folder, sent), "expected"),
+        workspace.stage(responses(spark, folder, sent), "responses"),
+        repeated_hosts=False,
+    )
