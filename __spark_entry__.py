@@ -27,6 +27,14 @@ from tillwatch.session import Workspace, tune  # noqa: E402
 from tillwatch.sources import samples, sinks, tables  # noqa: E402
 from tillwatch.streaming import replay, windows  # noqa: E402
 
+try:  # the subpackage for training data and its pipeline can be left out
+    import corpus_pipeline
+    from tillwatch.llm import queries as llm
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "tillwatch.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 # All is settled at END. At MID deliveries are in flight, and the cleanup is thirty days behind.
 END = datetime(2003, 1, 1)
@@ -164,6 +172,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator or query; each takes the session and a folder of tables."""
+    more = {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
     return {
         "message_results": _end(lambda r: r.message_results),
         "store_results": _end(lambda r: r.store_results.drop("published_at")),
@@ -227,9 +236,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_message_results": lambda spark, folder: _plain(replay.message_results(tune(spark), folder, END)),
         "stream_event_windows": lambda spark, folder: _plain(windows.replay_tumbling(tune(spark), folder)),
         "stream_trailing_windows": lambda spark, folder: _plain(windows.replay_sliding(tune(spark), folder)),
+        **more,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries, over the plain tables."""
-    return oracles.all_sql()
+    more = {**llm.oracle_sql(), "pipeline": corpus_pipeline.ORACLE_SQL} if llm else {}
+    return {**oracles.all_sql(), **{name: sql for name, sql in more.items() if sql}}
