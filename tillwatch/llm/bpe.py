@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_WORDS = 1_000_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 400_000
+CACHED_PAIRS = 300_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -83,7 +83,7 @@ def parted(tables: dict, x: int, y: int) -> int:
     Of the two, the token made later took the entry from its parts: x from its right part, y from its left one.
     """
     pairs = tables["pairs"]
-    if (known := pairs.get((x, y))) is not None:
+    if (known := pairs.get(x << 20 | y)) is not None:
         return known
     gadget, joined = tables["gadget"], tables["joined"]
     todo = [(x, y)]
@@ -96,22 +96,22 @@ def parted(tables: dict, x: int, y: int) -> int:
             source, copied = (ga[1], b), ra
         elif rb > ra or rb >= 0:
             source, copied = (a, gb[0]), rb
-        if source and source not in pairs:
+        was = pairs.get(source[0] << 20 | source[1]) if source else None
+        if source and was is None:
             todo.append(source)
             continue
         when = joined.get((a, b), NEVER)
         if source:
             # a row is copied before its own merge takes effect, a column after it
-            was = pairs[source]
             if was < copied or (was == copied and ra <= rb):
                 when = copied
         if len(pairs) > CACHED_PAIRS + 1000:
             pairs.clear()
             todo = [(x, y)]
             continue
-        pairs[(a, b)] = when
+        pairs[a << 20 | b] = when
         todo.pop()
-    return pairs.get((x, y), when)
+    return when
 
 
 def encode_word(tables: dict, word: str) -> tuple[int, ...]:
@@ -130,7 +130,7 @@ def encode_word(tables: dict, word: str) -> tuple[int, ...]:
             found = node.get(-2 if suffix and to == end else -1)
             if found is not None:
                 if at:
-                    when = pairs.get((token, found))
+                    when = pairs.get(token << 20 | found)
                     if (parted(tables, token, found) if when is None else when) != NEVER:
                         continue
                 last[to], before[to] = found, at
@@ -191,6 +191,9 @@ def decode_ids(tables: dict, ids) -> str:
     return " ".join([labels[i] for i in ids if 0 <= i < len(labels) and labels[i]])
 
 
+DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+
 class Bpe:
     """Encoder and decoder of a tokenizer file, as functions on DataFrame columns. The file is read on the driver."""
 
@@ -207,18 +210,18 @@ class Bpe:
             for batch in ids:
                 yield pd.Series([None if x is None else decode_ids(shared.value, x.tolist()) for x in batch], dtype=object)
 
-        self.encode, self.decode = encode, decode
-
+        @F.pandas_udf(DIGESTS)
+        def round_trip(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in texts:
+                yield pd.DataFrame([digests(shared.value, t) for t in batch], columns=DIGESTS.names)
 
-def ids_bytes(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+        self.encode, self.decode, self.round_trip = encode, decode, round_trip
 
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    for batch in ids:
-        yield pd.Series([hashlib.sha256(ids_bytes(x)).hexdigest() for x in batch], dtype=object)
+def digests(tables: dict, text: str | None) -> tuple[int, str, str]:
+    """Number of tokens, SHA-256 of the ids as little-endian unsigned 32-bit integers, SHA-256 of the decoded text."""
+    ids = encode_text(tables, text)
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode_ids(tables, ids.tolist()).encode("utf-8")).hexdigest()
 
 
 def encoded(documents: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -228,6 +231,5 @@ def encoded(documents: DataFrame, path: str, text: str = "text", ids: str = "ids
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, number of tokens, digest of the ids, digest of the decoded text. Repeated rows are encoded alike; an empty table gives no rows."""
-    bpe = Bpe(documents.sparkSession, path)
-    rows = documents.select("doc_id", bpe.encode(F.col("text").cast("string")).alias("ids"))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2(bpe.decode("ids"), 256).alias("decoded_sha256"))
+    both = Bpe(documents.sparkSession, path).round_trip(F.col("text").cast("string"))
+    return documents.select("doc_id", both.alias("_both")).select("doc_id", "_both.*")

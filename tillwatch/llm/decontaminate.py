@@ -24,7 +24,6 @@ MIN_MATCH = 5
 THRESHOLD = 0.6
 BLOCK_WORDS = 2_000_000
 SEEN_PIECES = 500_000
-UNKNOWN = (0,)
 
 WORD = re.compile(r"[^\W_]+")
 BASE = 0x9E3779B97F4A7C15
@@ -127,23 +126,36 @@ def index(items: Sequence[tuple[int, str | None]], min_match: int) -> dict:
                 by_length.setdefault(length, {}).setdefault(h, []).append(len(rows))
             rows.append((item_id, codes))
     seeds = {n: (np.array(sorted(found), dtype=np.uint64), found) for n, found in by_length.items()}
-    return {"numbers": numbers, "rows": rows, "seeds": seeds, "seen": {}}
+    return {"numbers": numbers, "rows": rows, "seeds": seeds, "seen": {}, "lists": []}
 
 
 def codes_of(text: str | None, ready: dict) -> np.ndarray:
-    """The number of each word, 0 for words that no item has. No word holds white space; pieces seen before are looked up."""
-    numbers, seen = ready["numbers"], ready["seen"]
-    out: list[int] = []
-    for piece in text.lower().split() if text else ():
-        codes = seen.get(piece)
-        if codes is None:
-            codes = tuple([numbers.get(w, 0) for w in WORD.findall(piece)])
-            if len(piece) <= 64:
-                if len(seen) >= SEEN_PIECES:
-                    seen.clear()
-                seen[piece] = codes if any(codes) or len(codes) != 1 else UNKNOWN
-        out += codes
-    return np.array(out, dtype=np.int64)
+    """The number of each word, 0 for words that no item has.
+
+    No word holds white space, so the text is cut there first, and pieces seen before are looked up: a piece of one word
+    as its number, a piece of none or several as a negative number that names its list.
+    """
+    seen, lists = ready["seen"], ready["lists"]
+    pieces = text.lower().split() if text else []
+    found = list(map(seen.get, pieces))
+    if None in found:
+        numbers = ready["numbers"]
+        if len(seen) + len(pieces) > SEEN_PIECES:
+            seen.clear()
+            lists.clear()
+        for piece in pieces:
+            if piece not in seen:
+                codes = [numbers.get(w, 0) for w in WORD.findall(piece)]
+                if len(codes) == 1:
+                    seen[piece] = codes[0]
+                else:
+                    lists.append(codes)
+                    seen[piece] = -len(lists)
+        found = list(map(seen.get, pieces))
+    codes = np.array(found, dtype=np.int64)
+    if len(codes) and codes.min() < 0:
+        codes = np.array([c for x in found for c in ((x,) if x >= 0 else lists[-x - 1])], dtype=np.int64)
+    return codes
 
 
 def near(places: np.ndarray, size: int, width: int) -> np.ndarray:
@@ -163,7 +175,7 @@ def leaks_of(text: str | None, ready: dict, min_match: int, threshold: float) ->
             continue
         known = np.flatnonzero(free_windows(codes == 0, length))
         if not len(known):
-            continue
+            continue  # nowhere are that many words of items in a row
         hashed = windows(codes, length)[known]
         hit = np.isin(hashed, hashes)
         for h, place in zip(hashed[hit].tolist(), known[hit].tolist(), strict=True):

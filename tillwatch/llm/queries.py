@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwatch.llm import bpe, decontaminate, sharding, topk, url_filter
+from tillwatch.llm import bpe, decontaminate, html_extract, pii, secret_scan, sharding, topk, toxicity, url_filter
 from tillwatch.session import Workspace
 
 SHARDS = 40
@@ -37,10 +38,28 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), Workspace(spark), [1.0] * SHARDS)
 
 
+def op3_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, folder, "pages"))
+
+
 def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), Workspace(spark))
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    rows = toxicity.with_toxicity(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    score = F.col("toxicity.score")
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"), "toxicity.spans")
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, folder, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), URL_RULES)
 
@@ -53,7 +72,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_sharding": op2_sharding,
+        "op3_html": op3_html,
         "op4_topk": op4_topk,
+        "op5_pii": op5_pii,
+        "op7_toxicity": op7_toxicity,
+        "op8_secrets": op8_secrets,
         "op9_url_filter": op9_url_filter,
         "op10_bpe": op10_bpe,
     }
