@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm import bpe, decontaminate, html_extract, pii, secret_scan, sharding, topk, toxicity, url_filter
+from tillwatch.llm import bpe, decontaminate, html_extract, ngram_join, pii, secret_scan, sharding, topk, toxicity, url_filter
 from tillwatch.session import Workspace
 
 SHARDS = 40
@@ -50,6 +50,10 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, folder, "documents"), Workspace(spark))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     rows = toxicity.with_toxicity(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
     score = F.col("toxicity.score")
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html": op3_html,
         "op4_topk": op4_topk,
         "op5_pii": op5_pii,
+        "op6_ngram_join": op6_ngram_join,
         "op7_toxicity": op7_toxicity,
         "op8_secrets": op8_secrets,
         "op9_url_filter": op9_url_filter,
