@@ -54,15 +54,19 @@ def load(path: str) -> dict:
 
 def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, split: str, special: dict[str, int]) -> dict:
     """Gadgets and trie. ``gadget``: token -> (left, right, rank); ``joined``: pair -> rank; ``trie``: nested dicts by letter, -1 for a token's id, -2 for the id of the token that ends a word."""
-    gadget, joined, trie = {}, {}, {}
+    gadget, joined, trie, dead = {}, {}, {}, set()
+    tables = {"gadget": gadget, "joined": joined, "pairs": {}}
     for rank, (left, right) in enumerate(merges):
         u, v, w = vocab[left], vocab[right], vocab[left + right]
-        gadget[w], joined[(u, v)] = (u, v, rank), rank
-    made = set(gadget)
+        if u in dead or v in dead or parted(tables, u, v) < rank:
+            dead.add(w)  # an earlier merge always parts the two: there is no path for the gadget
+        else:
+            gadget[w], joined[(u, v)] = (u, v, rank), rank
+            tables["pairs"].pop(u << 20 | v, None)
     for token, number in vocab.items():
         ends = bool(suffix) and token.endswith(suffix) and token != suffix
         letters = token[: -len(suffix)] if ends else token
-        if number not in made and len(letters) != 1:
+        if number not in gadget and (len(letters) != 1 or number in dead):
             continue  # neither a byte nor made by a merge: never produced
         node = trie
         for letter in letters:
