@@ -4,7 +4,7 @@ Tokens are pieces between white space, by their letters in lower case. The field
 documents, so tokens to learn from are labelled first: a word or word start is a cue if labelled documents that have it are
 toxic much more often than the rest (a likelihood ratio), and in toxic documents the tokens with a cue are toxic; in clean
 documents none is. Forward-backward gives each token's marginal. A document's score is a logistic regression on the sum
-and the maximum of its marginals, fitted on labelled documents that the field was not trained on.
+and the maximum of its marginals (the sum without slight ones), fitted on labelled documents that the field was not trained on.
 
 The fit takes a bounded sample of labelled documents (``sample`` of each class, texts up to ``longest`` characters); every
 text is scored whole, in memory bounded by a batch of rows.
@@ -31,6 +31,7 @@ LONGEST = 20_000
 FEATURES = 1 << 18
 CACHED = 500_000
 BATCH_TOKENS = 300_000
+LEAST_P = 0.2
 CUE_RATIO = 9.0  # nats of likelihood ratio that make a cue
 LETTERS = re.compile(r"[^\W\d_]+")
 PIECE = re.compile(r"\S+")
@@ -86,10 +87,12 @@ def flat(texts: list[list[str]]) -> tuple[list[str], np.ndarray]:
 
 
 def summary(p: np.ndarray) -> list[float]:
-    """What a document's score is made from, of the marginals of its tokens."""
-    if not len(p):
-        return [0.0, 0.0, 0.0]
-    top = min(max(float(p.max()), 1e-6), 1 - 1e-6)
+    """What a document's score is made from: expected number of toxic tokens, the surest one, and whether there is any.
+
+    Marginals under LEAST_P do not add up, so that a text is not toxic for being long.
+    """
+    top = min(max(float(p.max()), 1e-6), 1 - 1e-6) if len(p) else 1e-6
+    p = p[p >= LEAST_P]
     none = float(np.log1p(-np.minimum(p, 1 - 1e-6)).sum())
     return [math.log1p(float(p.sum())), math.log(top / (1 - top)) / 10 + 1.4, 1 - math.exp(none)]
 
