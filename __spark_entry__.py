@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import oracles  # noqa: E402
 from tillwatch import TrackingConfig  # noqa: E402
+from tillwatch.config import CLEANUP_BATCH  # noqa: E402
 from tillwatch.functions import scalar as fn  # noqa: E402
 from tillwatch.operators import attribution, documents, progress, results, retention, settle, status  # noqa: E402
 from tillwatch.plans import dashboards as dash  # noqa: E402
@@ -40,9 +41,13 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 END = datetime(2003, 1, 1)
 MID = datetime(1998, 7, 1)
 MID_CONFIG = TrackingConfig(cleanup_lag_seconds=30 * 86400)
+HALF_HOUR = dash.ago(MID, minutes=30)
 TODAY = date(1998, 7, 1)
+# Every group counts as heavy, and there are too many of them to broadcast.
+SPREAD_CONFIG = TrackingConfig(rows_per_task=1, broadcast_groups=10)
 
 _runs: dict[tuple[str, str, str], TrackingRun] = {}
+_written: set[tuple[str, str]] = set()
 
 
 def _run(spark: SparkSession, folder: str, kind: str = "end") -> TrackingRun:
@@ -51,11 +56,8 @@ def _run(spark: SparkSession, folder: str, kind: str = "end") -> TrackingRun:
         tune(spark)
         workspace = Workspace(spark)
         sources = tables.inputs(spark, folder, workspace)
-        _runs[key] = (
-            TrackingRun(sources, workspace, TrackingConfig(), END)
-            if kind == "end"
-            else TrackingRun(sources, workspace, MID_CONFIG, MID)
-        )
+        config, as_of = {"end": (TrackingConfig(), END), "mid": (MID_CONFIG, MID), "spread": (SPREAD_CONFIG, END)}[kind]
+        _runs[key] = TrackingRun(sources, workspace, config, as_of)
     return _runs[key]
 
 
@@ -73,6 +75,19 @@ def _mid(plan: Callable[[TrackingRun], DataFrame]) -> Callable[[SparkSession, st
     return lambda spark, folder: _plain(plan(_run(spark, folder, "mid")))
 
 
+def _spread(plan: Callable[[TrackingRun], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: _plain(plan(_run(spark, folder, "spread")))
+
+
+def _events(run: TrackingRun, name: str) -> DataFrame:
+    """A result table as the job writes it, a folder per day."""
+    path = f"{run.workspace.folder}/events/{name}"
+    if (run.workspace.folder, name) not in _written:
+        sinks.write_results(getattr(run, name), path, mode="overwrite")
+        _written.add((run.workspace.folder, name))
+    return sinks.read_results(run.workspace.spark, path)
+
+
 # --- queries over a run --------------------------------------------------------------------------
 
 
@@ -138,7 +153,7 @@ def _store_faults(run: TrackingRun) -> DataFrame:
 
 
 def _store_documents(run: TrackingRun) -> DataFrame:
-    return documents.store_documents(run.hosts).drop("published_at")
+    return documents.store_documents(run.hosts, run.stores).drop("published_at")
 
 
 def _event_json(run: TrackingRun) -> DataFrame:
@@ -198,9 +213,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "find_store": _mid(lambda r: _found(status.store_of(r.stores, "K84", "S2"))),
         "find_stores": _mid(lambda r: _found(status.stores_of(r.stores, "K84"))),
         "open_state": _mid(_open_state),
-        "expired_open_topk": _mid(lambda r: status.expired_open(r.stores, MID, r.config.worklist_size)),
-        "stalled_stores_topk": _mid(lambda r: status.stalled_stores(r.stores, MID, r.config)),
-        "stalled_messages_topk": _mid(lambda r: status.stalled_messages(r.messages, MID, r.config)),
+        "expired_open_topk": _mid(lambda r: status.expired_open(r.stores, MID, CLEANUP_BATCH)),
+        "stalled_stores_topk": _mid(lambda r: status.stalled_stores(r.stores, MID, r.config, CLEANUP_BATCH)),
+        "stalled_messages_topk": _mid(lambda r: status.stalled_messages(r.messages, MID, r.config, CLEANUP_BATCH)),
         "attention_list": _mid(lambda r: status.attention_list(r.stores, r.messages, MID, r.config)),
         "retention_keep": _end(_retention_keep),
         "partition_days": _end(lambda r: retention.partition_days(retention.with_day(r.stores), TODAY, r.config)),
@@ -212,6 +227,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dash_d01_last_day": _mid(lambda r: dash.messages_by_state(r.message_results, dash.ago(MID, days=1))),
         "dash_d08_last_day": _mid(lambda r: dash.store_completion(r.store_results, dash.ago(MID, days=1))),
         "dash_d09_last_day": _mid(lambda r: dash.missing_by_store(r.store_results, dash.ago(MID, days=1))),
+        "message_results_spread": _spread(lambda r: r.message_results),
+        "store_results_spread": _spread(lambda r: r.store_results.drop("published_at")),
+        "pos_results_spread": _spread(lambda r: r.pos_results.drop("published_at")),
+        "dash_d01_last_half_hour": _mid(lambda r: dash.messages_by_state(_events(r, "message_results"), HALF_HOUR)),
+        "dash_d02_last_half_hour": _mid(lambda r: dash.inconsistency_rate(_events(r, "message_results"), HALF_HOUR)),
+        "dash_d02_empty_window": _mid(lambda r: dash.inconsistency_rate(_events(r, "message_results"), END)),
+        "dash_d08_last_half_hour": _mid(lambda r: dash.store_completion(_events(r, "store_results"), HALF_HOUR)),
+        "dash_d09_last_half_hour": _mid(lambda r: dash.missing_by_store(_events(r, "store_results"), HALF_HOUR)),
+        "dash_d11_last_four_hours": _mid(lambda r: dash.store_lookup(_events(r, "store_results"), "K84", "S2", dash.ago(MID, hours=4))),
+        "dash_d12_last_day": _mid(lambda r: dash.latency(_events(r, "message_results"), dash.ago(MID, days=1))),
         "dash_d02_inconsistency_rate": _end(lambda r: dash.inconsistency_rate(r.message_results)),
         "dash_d03_inconsistency_breakdown": _end(lambda r: dash.inconsistency_breakdown(r.message_results)),
         "dash_d04_replaced_per_hour": _end(lambda r: dash.replaced_per_hour(r.message_results)),

@@ -136,10 +136,11 @@ with slots as (
          time_bucket(interval '1' hour, e.ts) - i * interval '1' hour + {size} * interval '1' hour as slot_end
   from events e cross join (select unnest(range({size})) as i))
 select slot_start, slot_end, event_type, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total
-from slots where slot_end <= (select max(ts) - interval '10' minute from events) group by slot_start, slot_end, event_type
+from slots group by slot_start, slot_end, event_type
 """
 
 
+HALF_HOUR = f"event_ts >= timestamp '{MID}' - interval '30' minute"
 LAST_DAY = f"event_ts >= timestamp '{MID}' - interval '1' day"
 
 
@@ -217,7 +218,7 @@ def all_sql() -> dict[str, str]:
             f"""select message_key, msg_offset, cast(null as varchar) as store_number, state, last_activity as since, 'STALLED_MESSAGE' as reason
                 from {STALLED_MESSAGES}
                 union all select message_key, msg_offset, store_number, state, last_activity, 'STALLED_STORE' from {STALLED_STORES}
-                union all select message_key, msg_offset, store_number, state, expire_at, 'EXPIRED_STORE' from {EXPIRED}"""
+                union all select message_key, msg_offset, store_number, state, expire_at, 'EXPIRED_STORE' from {EXPIRED}""".replace(" limit 500", "")
         ),
         "retention_keep": over(
             """select message_key, msg_offset, store_number, strftime(expire_at, '%Y_%m_%d') as suffix from st
@@ -258,6 +259,32 @@ def all_sql() -> dict[str, str]:
             f"""select store_number, cast(sum(missing_pos_count) as bigint) as missing_pos from store_results
                 where state in ('DONE', 'TIMED_OUT') and {LAST_DAY} group by store_number order by 2 desc, 1 limit 20"""
         ),
+        "message_results_spread": over(messages),
+        "store_results_spread": over("select * from store_results"),
+        "pos_results_spread": over("select * from pos_results"),
+        "dash_d01_last_half_hour": _mid(f"select {hour}, state, count(*) as n from message_results where {HALF_HOUR} group by 1, 2"),
+        "dash_d02_last_half_hour": _mid(
+            f"select case when count(*) > 0 then 100.0e0 * count(*) filter (where has_inconsistency) / count(*) end as pct_inconsistent from message_results where {HALF_HOUR}"
+        ),
+        "dash_d02_empty_window": "select cast(null as double) as pct_inconsistent",
+        "dash_d08_last_half_hour": _mid(
+            f"""select message_key, store_number, pos_completion_pct, state
+                from ({STORE_NEWEST.format(by='message_key, store_number')}) where {HALF_HOUR}"""
+        ),
+        "dash_d09_last_half_hour": _mid(
+            f"""select store_number, cast(sum(missing_pos_count) as bigint) as missing_pos from store_results
+                where state in ('DONE', 'TIMED_OUT') and {HALF_HOUR} group by store_number order by 2 desc, 1 limit 20"""
+        ),
+        "dash_d11_last_four_hours": _mid(
+            f"""select max(state) as state, max(pos_completion_pct) as pos_completion_pct, max(missing_pos_count) as missing_pos_count
+                from ({STORE_NEWEST.format(by='message_key, store_number')})
+                where message_key = 'K84' and store_number = 'S2' and event_ts >= timestamp '{MID}' - interval '4' hour"""
+        ),
+        "dash_d12_last_day": _mid(
+            f"""select {half_hour}, avg(last_consumer_ack_ms) / 1000 as avg_sec, round(quantile_cont(last_consumer_ack_ms, 0.5) / 1000, 6) as p50_sec,
+                       round(quantile_cont(last_consumer_ack_ms, 0.95) / 1000, 6) as p95_sec, round(quantile_cont(last_consumer_ack_ms, 0.99) / 1000, 6) as p99_sec
+                from message_results where {LAST_DAY} group by 1"""
+        ),
         "dash_d02_inconsistency_rate": over(
             "select 100.0e0 * count(*) filter (where has_inconsistency) / count(*) as pct_inconsistent from message_results"
         ),

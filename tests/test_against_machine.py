@@ -48,7 +48,7 @@ def test_other_settings_and_spread_groups(spark):
 
 
 def test_few_spread_groups(spark):
-    config = TrackingConfig(segment_seconds=86400, rows_per_task=3, max_hot_groups=2)
+    config = TrackingConfig(segment_seconds=86400, rows_per_task=3, broadcast_groups=2)
     check(spark, *cases.random_case(5), LATER, config)
 
 

@@ -25,7 +25,7 @@ def test_running_total(spark):
 def test_spread_join(spark):
     big = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("k"), "id")
     small = big.filter("k <> 'k1'").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    for config in (TrackingConfig(), TrackingConfig(rows_per_task=10), TrackingConfig(rows_per_task=10, max_hot_groups=1)):
+    for config in (TrackingConfig(), TrackingConfig(rows_per_task=10), TrackingConfig(rows_per_task=10, broadcast_groups=1)):
         for how in ("inner", "left"):
             ours = spread_join(big, small, ["k"], ["id"], "n", config, how)
             plain = big.join(small.drop("n"), ["k"], how)

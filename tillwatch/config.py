@@ -21,20 +21,20 @@ def parse_checkpoints(text: str) -> tuple[int, ...]:
 
 @dataclass(frozen=True)
 class TrackingConfig:
-    """Business thresholds, and two numbers that shape the shuffles.
+    """Business thresholds, and three numbers that shape the shuffles.
 
     ``segment_seconds`` cuts ordered scans of a key into time slices, ``rows_per_task`` is the number
-    of rows of one group a task should see before the group is spread over several tasks. Neither
+    of rows of one group a task should see before the group is spread over several tasks. The list of
+    such groups is broadcast up to ``broadcast_groups`` of them, and joined by a shuffle beyond. None
     changes a result.
     """
 
     late_minutes: int = LATE_MINUTES
     checkpoints: tuple[int, ...] = parse_checkpoints(CHECKPOINTS)
     cleanup_lag_seconds: int = CLEANUP_PERIOD_SECONDS
-    worklist_size: int = CLEANUP_BATCH
     stalled_minutes: int = STALLED_MINUTES
     days_ahead: int = DAYS_AHEAD
     days_to_retain: int = DAYS_TO_RETAIN
     segment_seconds: int = 300
     rows_per_task: int = 2_000_000
-    max_hot_groups: int = 1000
+    broadcast_groups: int = 1000

@@ -25,7 +25,7 @@ def track(spark: SparkSession, publishes: str, responses: str, out: str, kind: s
     answers = events.read_responses(spark, responses, kind)
     events.rejected(events.check_publishes(sent)).write.mode("overwrite").parquet(f"{out}/rejected_publishes")
     events.rejected(events.check_responses(answers)).write.mode("overwrite").parquet(f"{out}/rejected_responses")
-    run = TrackingRun(events.staged_inputs(events.distinct_publishes(sent), answers, workspace), workspace, config, as_of)
+    run = TrackingRun(events.staged_inputs(sent, answers, workspace), workspace, config, as_of)
     for name in ("message_results", "store_results", "pos_results"):
         sinks.write_results(getattr(run, name), f"{out}/{name}", mode="overwrite")
     sinks.write_state(status.open_stores(run.stores), f"{out}/open_stores")

@@ -10,10 +10,11 @@ from tillwatch.operators import progress
 from tillwatch.schemas import STORE
 
 
-def store_documents(hosts: DataFrame) -> DataFrame:
+def store_documents(hosts: DataFrame, stores: DataFrame | None = None) -> DataFrame:
     """One row per store with the machines its publish named; these came as one list in one record.
 
-    Machines that were not named have no bound on their number; ``unexpected_hosts`` lists them.
+    With ``stores``, a store without machines has empty lists. Machines that were not named have no bound on their
+    number; ``unexpected_hosts`` lists them, and ``hosts`` has their last status.
     """
     status = F.struct(
         F.col("latest.status").alias("status"),
@@ -30,11 +31,15 @@ def store_documents(hosts: DataFrame) -> DataFrame:
         F.sort_array(F.flatten(F.collect_list(missing))).alias("missing_pos"),
         F.map_from_entries(F.sort_array(entries)).alias("pos_statuses"),
     )
-    return lists.select(
+    written = lists.select(
         *STORE,
         *[fn.strings_to_json(c).alias(c) for c in ("expected_pos", "responded_pos", "missing_pos")],
         fn.statuses_to_json("pos_statuses").alias("pos_statuses"),
     )
+    if stores is None:
+        return written
+    empty = {"expected_pos": "[]", "responded_pos": "[]", "missing_pos": "[]", "pos_statuses": "{}"}
+    return stores.select(*STORE).join(written, STORE, "left").fillna(empty)
 
 
 def from_documents(documents: DataFrame) -> DataFrame:

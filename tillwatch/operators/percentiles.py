@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from tillwatch.operators.scan import running_total
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], slice_width: int) -> DataFrame:
-    """Per group one column per wanted share, interpolated between neighbouring values; nulls are ignored.
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], slice_width: int, mean: str | None = None) -> DataFrame:
+    """Per group one column per wanted share, interpolated between neighbouring values, and the ``mean`` if named.
+
+    Nulls are ignored; a group of nulls alone has nulls.
 
     Values are counted first, then ranked by a running total over slices of ``slice_width``, so no task
     holds all values of a group.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counted = df.groupBy(*keys, value).agg(F.count(value).alias("n"))
     slice_no = F.floor(F.col(value) / F.lit(slice_width))
     ranked = running_total(counted, keys, slice_no, [value], F.col("n"), "_upto", total="_all")
 
@@ -29,4 +31,6 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
         low, part = F.floor(position), position - F.floor(position)
         below, above = value_at(low), value_at(F.least(low + 1, F.col("_all") - 1))
         out.append((below + (above - below) * F.max(part)).alias(name))
+    if mean:
+        out.append(F.try_divide(F.sum(F.col(value) * F.col("n")), F.sum("n")).alias(mean))
     return ranked.groupBy(*keys).agg(*out)

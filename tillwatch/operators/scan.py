@@ -19,17 +19,17 @@ from tillwatch.functions import scalar as fn
 
 
 def with_slice(df: DataFrame, keys: Sequence[str], time: str, heavy: DataFrame | None, config: TrackingConfig) -> DataFrame:
-    """Add ``_slice``: the time slice for rows of a heavy key, 0 for others. ``heavy`` is a bounded list of keys."""
+    """Add ``_slice``: the time slice for rows of a heavy key, 0 for others. ``heavy`` lists the heavy keys."""
     if heavy is None:
         return df.withColumn("_slice", F.lit(0).cast("long"))
-    marked = df.join(F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy"))), list(keys), "left")
+    marked = df.join(heavy.select(*keys, F.lit(True).alias("_heavy")), list(keys), "left")
     number = F.when(F.col("_heavy"), fn.segment_of(time, config.segment_seconds)).otherwise(F.lit(0).cast("long"))
     return marked.withColumn("_slice", number).drop("_heavy")
 
 
 def only_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
     """The rows of heavy keys."""
-    return df.join(F.broadcast(heavy.select(*keys)), list(keys), "left_semi")
+    return df.join(heavy.select(*keys), list(keys), "left_semi")
 
 
 def running_total(

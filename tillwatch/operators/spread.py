@@ -16,26 +16,28 @@ def part_count(weight: str, config: TrackingConfig) -> Column:
 
 
 def heaviest(weights: DataFrame, keys: Sequence[str], weight: str, config: TrackingConfig) -> DataFrame | None:
-    """The heaviest keys with their part count, at most ``max_hot_groups`` of them; None if no key is heavy.
+    """All heavy keys with their part count; None if no key is heavy.
 
-    ``weights`` should be a staged table: it is asked once, here, whether any key is heavy.
+    ``weights`` should be a staged table: it is asked once, here, how many keys are heavy. A list of at most
+    ``broadcast_groups`` is marked for broadcast; a longer one takes part in shuffled joins.
     """
-    heavy = weights.filter(F.col(weight) > config.rows_per_task)
-    if heavy.isEmpty():
+    heavy = weights.filter(F.col(weight) > config.rows_per_task).select(*keys, part_count(weight, config).alias("_parts"))
+    found = heavy.limit(config.broadcast_groups + 1).count()
+    if not found:
         return None
-    return heavy.select(*keys, part_count(weight, config).alias("_parts")).orderBy(F.desc("_parts"), *keys).limit(config.max_hot_groups)
+    return F.broadcast(heavy) if found <= config.broadcast_groups else heavy
 
 
 def assign_part(df: DataFrame, heavy: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
     """Add ``_part``: a hash of ``spread_by`` within the parts of a heavy key, 0 for other keys."""
     part = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
-    return df.join(F.broadcast(heavy), list(keys), "left").withColumn("_part", part).drop("_parts")
+    return df.join(heavy, list(keys), "left").withColumn("_part", part).drop("_parts")
 
 
 def repeat_parts(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Repeat the rows of a heavy key for each of its parts, as ``_part``."""
     parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
-    return df.join(F.broadcast(heavy), list(keys), "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return df.join(heavy, list(keys), "left").withColumn("_part", F.explode(parts)).drop("_parts")
 
 
 def spread_join(
@@ -50,9 +52,8 @@ def spread_join(
     """Join ``big`` to ``small`` (staged, unique on ``keys``), spreading heavy keys over several tasks.
 
     ``small[weight]`` says how many rows of ``big`` a key has. The rows of a heavy key get a part number
-    from a hash of ``spread_by``, and the one row of ``small`` is repeated for each part. Only the list of
-    the heaviest keys is broadcast, and its length is bounded. A key outside the list joins in part 0, so
-    the result does not depend on the list. ``weight`` is dropped.
+    from a hash of ``spread_by``, and the one row of ``small`` is repeated for each part. Only a list of
+    heavy keys that was counted and is short is broadcast. ``weight`` is dropped.
     """
     heavy = heaviest(small, keys, weight, config)
     if heavy is None:

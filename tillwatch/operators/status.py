@@ -118,51 +118,41 @@ def status_rows(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config
 # --- worklists -----------------------------------------------------------------------------------
 
 
-def expired_open(stores: DataFrame, as_of: datetime, limit: int) -> DataFrame:
-    """Open stores past their deadline, oldest first."""
+def _first(rows: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows in an order; without a limit all rows, in no order."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
+def expired_open(stores: DataFrame, as_of: datetime, limit: int | None = None) -> DataFrame:
+    """Open stores past their deadline; with a limit the oldest."""
     at = F.lit(as_of).cast("timestamp")
-    return (
-        open_stores(stores)
-        .filter((F.col("expire_at") < at) & F.col("state").isin(v.PENDING, v.PARTIAL))
-        .orderBy("expire_at", *READING_ORDER, "store_number")
-        .limit(limit)
-        .select("message_key", "msg_offset", "store_number", "state", "expire_at")
-    )
+    expired = open_stores(stores).filter((F.col("expire_at") < at) & F.col("state").isin(v.PENDING, v.PARTIAL))
+    first = _first(expired, ["expire_at", *READING_ORDER, "store_number"], limit)
+    return first.select("message_key", "msg_offset", "store_number", "state", "expire_at")
 
 
 def _last_activity() -> Column:
     return F.greatest("published_at", "last_received_at")
 
 
-def stalled_stores(stores: DataFrame, as_of: datetime, config: TrackingConfig) -> DataFrame:
-    """Open stores without a publish or response for some minutes, longest first."""
+def stalled_stores(stores: DataFrame, as_of: datetime, config: TrackingConfig, limit: int | None = None) -> DataFrame:
+    """Open stores without a publish or response for some minutes; with a limit the longest."""
     before = fn.minutes_before(F.lit(as_of).cast("timestamp"), config.stalled_minutes)
-    return (
-        open_stores(stores)
-        .withColumn("last_activity", _last_activity())
-        .filter(F.col("last_activity") < before)
-        .orderBy("last_activity", *READING_ORDER, "store_number")
-        .limit(config.worklist_size)
-        .select("message_key", "msg_offset", "store_number", "state", "last_activity")
-    )
+    stalled = open_stores(stores).withColumn("last_activity", _last_activity()).filter(F.col("last_activity") < before)
+    first = _first(stalled, ["last_activity", *READING_ORDER, "store_number"], limit)
+    return first.select("message_key", "msg_offset", "store_number", "state", "last_activity")
 
 
-def stalled_messages(messages: DataFrame, as_of: datetime, config: TrackingConfig) -> DataFrame:
-    """Open messages without a publish or response for some minutes, longest first."""
+def stalled_messages(messages: DataFrame, as_of: datetime, config: TrackingConfig, limit: int | None = None) -> DataFrame:
+    """Open messages without a publish or response for some minutes; with a limit the longest."""
     before = fn.minutes_before(F.lit(as_of).cast("timestamp"), config.stalled_minutes)
-    return (
-        open_messages(messages)
-        .withColumn("last_activity", _last_activity())
-        .filter(F.col("last_activity") < before)
-        .orderBy("last_activity", *READING_ORDER)
-        .limit(config.worklist_size)
-        .select("message_key", "msg_offset", "state", "last_activity")
-    )
+    stalled = open_messages(messages).withColumn("last_activity", _last_activity()).filter(F.col("last_activity") < before)
+    return _first(stalled, ["last_activity", *READING_ORDER], limit).select("message_key", "msg_offset", "state", "last_activity")
 
 
 def attention_list(stores: DataFrame, messages: DataFrame, as_of: datetime, config: TrackingConfig) -> DataFrame:
-    """The three worklists as one report: stalled messages, stalled stores, expired open stores."""
-    expired = expired_open(stores, as_of, config.worklist_size).withColumnRenamed("expire_at", "since")
+    """The three worklists whole, as one report: stalled messages, stalled stores, expired open stores."""
+    expired = expired_open(stores, as_of).withColumnRenamed("expire_at", "since")
     slow_stores = stalled_stores(stores, as_of, config).withColumnRenamed("last_activity", "since")
     slow_messages = stalled_messages(messages, as_of, config).withColumnRenamed("last_activity", "since")
     return (

@@ -1,7 +1,7 @@
 """Dashboard queries over the result tables.
 
-``since`` keeps events from that time on, such as ``ago(as_of, days=1)``; files whose times are all older
-are skipped.
+``since`` keeps events from that time on, such as ``ago(as_of, days=1)``; folders of days before and files whose
+times are all older are skipped. Shares of nothing are null.
 """
 
 from __future__ import annotations
@@ -24,7 +24,12 @@ def ago(as_of: datetime, **span: float) -> datetime:
 
 
 def recent(events: DataFrame, since: datetime | None) -> DataFrame:
-    return events if since is None else events.filter(F.col("event_ts") >= F.lit(since).cast("timestamp"))
+    """Events from a time on. Tables with a folder per day (``event_date``) are read from that day on."""
+    if since is None:
+        return events
+    if "event_date" in events.columns:
+        events = events.filter(F.col("event_date") >= F.lit(since.date()))
+    return events.filter(F.col("event_ts") >= F.lit(since).cast("timestamp"))
 
 
 def _slot(width: str) -> Column:
@@ -32,7 +37,7 @@ def _slot(width: str) -> Column:
 
 
 def _share(condition: Column) -> Column:
-    return F.lit(100.0) * F.count_if(condition) / F.count("*")
+    return F.try_divide(F.lit(100.0) * F.count_if(condition), F.count("*"))
 
 
 def _newest(value: str, order: Column) -> Column:
@@ -131,9 +136,8 @@ LATENCY_SLICE_MS = 60_000
 def latency(messages: DataFrame, since: datetime | None = None) -> DataFrame:
     """Average and percentiles of publish to last consumer acknowledgement per half hour, in seconds."""
     rows = recent(messages, since).select(_slot("30 minutes"), "last_consumer_ack_ms")
-    mean = rows.groupBy("slot").agg((F.avg("last_consumer_ack_ms") / 1000).alias("avg_sec"))
-    ranked = percentiles(rows, ["slot"], "last_consumer_ack_ms", SHARES, LATENCY_SLICE_MS)
-    return mean.join(ranked, "slot", "left").select("slot", "avg_sec", *[F.round(F.col(p) / 1000, 6).alias(f"{p}_sec") for p in SHARES])
+    ranked = percentiles(rows, ["slot"], "last_consumer_ack_ms", SHARES, LATENCY_SLICE_MS, mean="mean")
+    return ranked.select("slot", (F.col("mean") / 1000).alias("avg_sec"), *[F.round(F.col(p) / 1000, 6).alias(f"{p}_sec") for p in SHARES])
 
 
 def latency_approx(messages: DataFrame, since: datetime | None = None) -> DataFrame:

@@ -69,9 +69,9 @@ def wire_events(results: DataFrame, event_type: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, mode: str = "append", kind: str = "parquet") -> None:
-    """Result events, one folder per event day, so that recent windows read few days."""
+    """Result events, one folder per event day, so that recent windows read few days. Overwriting replaces the days that have events, no others."""
     by_day = results.withColumn("event_date", F.to_date("event_ts"))
-    by_day.write.mode(mode).partitionBy("event_date").format(kind).save(path)
+    by_day.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("event_date").format(kind).save(path)
 
 
 def read_results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwatch.session import Workspace
 from tillwatch.sources import tables
@@ -31,20 +32,31 @@ def _windowed(events: DataFrame, window: Column, delay: str) -> DataFrame:
 
 
 def _replay(spark: SparkSession, folder: str, plan) -> DataFrame:
-    """Stream the events table through a plan into a table, and read that."""
+    """Stream the events table through a plan into a table, and read that.
+
+    The table ends, so windows that no later event completes count too: each batch writes the windows it
+    changed, and the newest state of a window is read.
+    """
     workspace = Workspace(spark)
     stream = spark.readStream.schema(tables.COLUMNS["events"]).parquet(f"{folder}/events*.parquet")
     result = plan(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     out = f"{workspace.folder}/windows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number:09d}")
+
     query = (
-        result.writeStream.outputMode("append")
+        result.writeStream.outputMode("update")
         .option("checkpointLocation", f"{workspace.folder}/offsets")
         .trigger(availableNow=True)
-        .format("parquet")
-        .start(out)
+        .foreachBatch(write)
+        .start()
     )
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(out)
+    keys = ["slot_start", "slot_end", "event_type"]
+    changed = spark.read.schema(T.StructType([*result.schema, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/*")
+    newest = changed.groupBy(*keys).agg(F.max_by(F.struct("n", "total"), "batch").alias("w"))
+    return newest.select(*keys, "w.n", "w.total")
 
 
 def replay_tumbling(spark: SparkSession, folder: str) -> DataFrame:
