@@ -177,7 +177,7 @@ def leaks_of(text: str | None, ready: dict, min_match: int, threshold: float) ->
         if not len(known):
             continue  # nowhere are that many words of items in a row
         hashed = windows(codes, length)[known]
-        hit = np.isin(hashed, hashes)
+        hit = hashes[np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)] == hashed
         for h, place in zip(hashed[hit].tolist(), known[hit].tolist(), strict=True):
             for row in owners[h]:
                 at.setdefault(row, []).append(place)

@@ -106,5 +106,33 @@ where rank <= 5
 """
 
 
+# CRC-32 byte by byte over a table that the polynomial's rule gives.
+SHARDING_SQL = """
+with crc_table as (
+  select list(c order by b) as steps from (
+    select b, list_reduce(list_concat([b], range(8)), lambda a, i: case when a % 2 = 1 then xor(3988292384::bigint, a // 2) else a // 2 end) as c
+    from (select unnest(range(256)) as b))
+), rows as (
+  select doc_id, encode(coalesce(text, '')) as raw, coalesce('k' || cast(doc_id as varchar), 'null') as k from documents
+), coded as (
+  select doc_id, k, cast(octet_length(raw) + 16 as bigint) as size,
+         list_transform(range(1, octet_length(raw) + 1), lambda i: cast('0x' || substr(x, 2 * i - 1, 2) as bigint)) as bytes
+  from (select *, hex(raw) as x from rows)
+), scored as (
+  select doc_id, size, cast('0x' || substr(md5(k), 1, 13) as bigint) as place,
+         case when len(bytes) = 0 then 0 else xor(4294967295::bigint,
+           list_reduce(list_concat([4294967295::bigint], bytes), lambda a, b: xor(a // 256, steps[xor(a, b) % 256 + 1]))) end as text_crc32,
+         list_transform(range({shards} + 1), lambda s: {{'score': 1.0e0 / -ln((cast('0x' || substr(md5(k || ':' || cast(s as varchar)), 1, 13) as bigint) + 0.5e0) / 4503599627370496e0), 'shard': -s}}) as ranks
+  from coded, crc_table
+), placed as (
+  select doc_id, size, cast(text_crc32 as bigint) as text_crc32, place, cast(-list_max(ranks[1:{shards}]).shard as integer) as shard, cast(-list_max(ranks).shard as integer) as grown_shard
+  from scored
+)
+select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
+       row_number() over (partition by shard order by place, doc_id nulls first, size, text_crc32) - 1 as slot
+from placed
+""".format(shards=SHARDS)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": TOPK_SQL}
+    return {"op2_sharding": SHARDING_SQL, "op4_topk": TOPK_SQL}
