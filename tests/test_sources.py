@@ -44,6 +44,38 @@ def lines(path, *objects):
     return str(path)
 
 
+def test_requests_as_they_are_sent(spark):
+    """Requests without times, and responses without key and number, in records of a log; each delivered twice."""
+    publish = {k: v for k, v in PUBLISH.items() if k != "publishedAt"}
+    response = {k: v for k, v in RESPONSE.items() if k not in ("messageKey", "receivedAt", "seq")}
+    record = "key string, value string, partition int, offset bigint, timestamp timestamp"
+    sent = [(PUBLISH["messageKey"], json.dumps(publish), 0, 5, datetime(2026, 2, 17, 10, 0))] * 2
+    answered = [(PUBLISH["messageKey"], json.dumps(response), 1, 7, datetime(2026, 2, 17, 10, 5, 24))] * 2
+    publishes = events.publishes_from_records(spark.createDataFrame(sent, record))
+    answers = events.responses_from_records(spark.createDataFrame(answered, record))
+    assert events.rejected(events.check_publishes(publishes)).isEmpty() and events.rejected(events.check_responses(answers)).isEmpty()
+    run = TrackingRun(events.inputs(publishes, answers), Workspace(spark), TrackingConfig(), datetime(2026, 2, 17, 10, 30))
+    document = status.status_documents(run.hosts, run.stores, run.messages, run.config).first()
+    assert document.state == "PENDING" and document.inconsistencies == []
+    assert [(s.store_number, s.pos_completion_pct) for s in document.stores] == [("9750", 50.0), ("9751", 100.0)]
+    stored = {r.store_number: r for r in documents.store_documents(run.hosts, run.stores).collect()}
+    assert stored["9751"].expected_pos == "[]" and stored["9751"].pos_statuses == "{}"
+
+
+def test_a_response_without_number_is_rejected(spark):
+    answers = spark.createDataFrame([("K", "S", "P", True, None, "DONE", datetime(2026, 1, 1), None)], events.schemas.RESPONSE)
+    assert events.check_responses(answers).first().reasons == ["SEQ_NULL"]
+
+
+def test_recent_windows_read_few_days(spark, tmp_path, capsys):
+    rows = spark.createDataFrame([(datetime(2026, 1, d), "DONE") for d in range(1, 20)], "event_ts timestamp, state string")
+    sinks.write_results(rows, f"{tmp_path}/results")
+    newest = dashboards.messages_by_state(sinks.read_results(spark, f"{tmp_path}/results"), datetime(2026, 1, 18))
+    newest.explain("formatted")
+    assert "PartitionFilters: [isnotnull(event_date" in capsys.readouterr().out
+    assert newest.count() == 2
+
+
 def test_json_to_results(spark, tmp_path):
     publishes = events.read_publishes(spark, lines(tmp_path / "publish", PUBLISH), "json")
     answers = events.read_responses(spark, lines(tmp_path / "response", RESPONSE, {**RESPONSE, "seq": 2, "status": " "}), "json")
