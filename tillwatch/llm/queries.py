@@ -134,5 +134,35 @@ from placed
 """.format(shards=SHARDS)
 
 
+# Pairs that share a shingle, their overlap, and all that links reach.
+NGRAM_JOIN_SQL = """
+with recursive rows as (
+  select row_number() over () as r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+  from documents
+), sets as (
+  select r, doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from rows
+), classes as (
+  select min(r) as c, list_sort(s) as s, len(s) as n from sets where len(s) > 0 group by list_sort(s), len(s)
+), members as (
+  select sets.r, c from sets join classes on list_sort(sets.s) = classes.s
+), tokens as (
+  select c, n, unnest(s) as t from classes
+), links as (
+  select a.c as a, b.c as b from tokens a join tokens b on a.t = b.t and a.c <> b.c
+       and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.c, b.c, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+  select c as a, c as b from classes
+  union
+  select reach.a, links.b from reach join links on links.a = reach.b
+), least_id as (
+  select reach.a as c, min(doc_id) as component_id from reach join members on members.c = reach.b join sets using (r) group by reach.a
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id
+from sets left join members using (r) left join least_id using (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": SHARDING_SQL, "op4_topk": TOPK_SQL}
+    return {"op2_sharding": SHARDING_SQL, "op4_topk": TOPK_SQL, "op6_ngram_join": NGRAM_JOIN_SQL}
