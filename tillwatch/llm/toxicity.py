@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tillwatch.llm import crf
 
-SAMPLE = 1500
+SAMPLE = 1200
 LONGEST = 20_000
 FEATURES = 1 << 18
 CACHED = 500_000
@@ -108,7 +108,8 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 2000, rate: float = 1.0,
 
 def fit(rows: list[tuple[str, int, int]]) -> dict:
     """The model, of (text, toxic, part) rows: part 0 trains the field, part 1 the score. Without rows of both classes every score is the share of toxic rows."""
-    texts = [[word_of(p) for p in (text or "").lower().split()] for text, _, _ in rows]
+    once: dict[str, str] = {}  # equal words are one object
+    texts = [[once.setdefault(w, w) for w in map(word_of, (text or "").lower().split())] for text, _, _ in rows]
     share = sum(y for _, y, _ in rows) / len(rows) if rows else 0.0
     model = {"between": np.zeros((2, 2)), "start": np.zeros(2), "w": np.zeros(FEATURES), "score": np.array([0.0, 0.0, 0.0, math.log((share + 1e-3) / (1 - share + 1e-3))])}
     marked = cues(texts, [y for _, y, _ in rows])
