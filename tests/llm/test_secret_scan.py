@@ -98,3 +98,45 @@ def test_runs_give_the_best_path_of_the_whole_line(model):
         if all(ss.core(t) == (0, len(t)) for t in tokens):
             assert [[s, e] for _, s, e in ss.tagged_spans(text, model)] == expected
     assert all(a <= b for a, b in pairwise(places))
+
+
+def test_secrets_without_digits_and_short_ones(model):
+    def tagged(text):
+        return [text[s["start"] : s["end"]] for s in ss.spans_of(text, model)]
+
+    assert tagged("pwd: xKjPq-LmNoR") == ["xKjPq-LmNoR"]
+    assert tagged("say\nAuthorization: Bearer abcdEFGHijklMNOPqrstUVWX\nthen") == ["abcdEFGHijklMNOPqrstUVWX"]
+    assert tagged("passphrase: correct-horse-battery-staple") == ["correct-horse-battery-staple"]
+    assert tagged("pwd = aB3$x") == ["aB3$x"]
+    key = ["hHQfXQmBfUSHVPHWqriOWtuwKJEGOMaYqrolnfNUSYLsjLyJRmhfuXpfxWkdTrPz", "sXXMWXdJrfpIWShsIIzJCusqUlsUAtZlfRZhnnKnVozMuMSYsIEMAAjqHxNJArKc"]
+    assert tagged(f"-----KEY {' '.join(key)} -----END") == [" ".join(key)]
+    for text in ("The Quick brown fox, and the password was lost.", "Bearer of the news", "def getUserName(self): return self.userName", "Donaudampfschifffahrtsgesellschaft README %%%"):
+        assert tagged(text) == []
+
+
+def test_kept_scores_and_sure_tokens_give_the_best_path(model):
+    """Over several lines, with kept scores dropped in between, and with pieces that have no token."""
+    known, rng = ss.Scores(model), random.Random(11)
+    lines = ss.labelled_lines(400, 31)
+    for number in range(100):
+        text = rng.choice(["\n", " \n\n "]).join(rng.choice([" ", "  "]).join(rng.choice(["", "", '"']) + t for t, _ in line) for line in rng.sample(lines, rng.randint(1, 5)))
+        text += rng.choice(["", "\n;; () \n", " é{=}"])
+        if number % 10 == 0:
+            known.reset()
+        file, nothing, expected = ss.numbers(ss.file_features(text)), ss.numbers(["nothing"]), []
+        own, before, after = model["weights"]
+        start = 0
+        for line in text.split("\n"):
+            pieces = [(start + m.start(), m[0]) for m in re.finditer(r"\S+", line)]
+            places = [(s + a, s + b) for s, p in pieces for a, b in [ss.core(p)]]
+            feats = [ss.numbers([*ss.shape_of(text[a:b]), *ss.word_shape(text[a:b])]) + file for a, b in places]
+            scores = np.array([own[f].sum(0) + before[p].sum(0) + after[n].sum(0) for p, f, n in zip([nothing, *feats], feats, [*feats[1:], nothing], strict=False)]).reshape(-1, 3)
+            scores[[a == b for a, b in places], 1:] = -1e9
+            for tag, (a, b) in zip(crf.viterbi(scores, model["between"], model["start"], np.zeros(3)), places, strict=True):
+                if tag == ss.BEGIN:
+                    expected.append(("tagged", a, b))
+                elif tag == ss.INSIDE:
+                    expected[-1] = ("tagged", expected[-1][1], b)
+            start += len(line) + 1
+        assert ss.tagged_spans(text, model, known) == expected
+    assert ss.tagged_spans(" \n ", model) == ss.tagged_spans("", model) == []

@@ -2,15 +2,17 @@
 
 Tokens are pieces between white space without surrounding quotes and punctuation. The field scores a token by its shape,
 by the shape of the tokens beside it, and by features of the file (does it look like code, is it a single line), and
-Viterbi picks the best tags. A token without a digit or shorter than eight characters is always outside, so the best path
-passes through the outside tag there, and runs of other tokens are decoded each for itself: the same path, found by looking at
-few tokens. It is trained on lines written by rule (below), labelled token by token.
+Viterbi picks the best tags of each line. Every token is scored; the scores of a token's text are kept and looked up. Where no
+tags of the neighbours can make up for what a token loses by not being outside, the best path passes through the outside tag, and
+the runs of other tokens are decoded each for itself: the same path, found by looking at few tokens. The field is trained on
+lines written by rule (below), labelled token by token. They have no secrets of several plain words with spaces between them.
 
 Spans found by the fixed patterns stay as they are; the field adds spans that overlap none of them, as kind ``tagged``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -35,10 +37,16 @@ KINDS = ("assign", "access", "hex", "tagged")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 FEATURES = 1 << 14
-LEAST = 8
+KNOWN = 700_000  # texts of tokens whose scores are kept
+LONG = 100  # longer ones are scored each time
 PIECE = re.compile(r"\S+")
 EDGES = "\"'`,;()[]{}<>"
 LETTERS = re.compile(r"[^\W\d_]+")
+HARD = re.compile(r"[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{3,}")
+HEAD = re.compile(r"[a-z]{2,5}(?=[_-])")
+HEXLIKE = re.compile(r"[0-9a-fA-F-]+")
+# characters that shape_of does not tell apart, but for what letter_shape, HEXLIKE and the number of different ones say
+ALIKE = {ord(c): k for k, chars in (("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("0", "0123456789"), ("é", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")) for c in chars}
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -61,7 +69,14 @@ def core(piece: str) -> tuple[int, int]:
 
 
 def may_be_secret(token: str) -> bool:
-    return len(token) >= LEAST and any("0" <= c <= "9" for c in token)
+    """Whether there is anything to tag: a piece of quotes and punctuation only has no token."""
+    return token != ""
+
+
+def letter_shape(token: str) -> tuple[int, str]:
+    """The longest run of consonants, and the letters before a first mark."""
+    head = HEAD.match(token)
+    return min(max(map(len, HARD.findall(token)), default=0), 7), head[0] if head else ""
 
 
 def shape_of(token: str) -> list[str]:
@@ -75,6 +90,9 @@ def shape_of(token: str) -> list[str]:
     short = re.sub(r"(.)\1+", r"\1", re.sub(r"[^0-9a-zA-Z]", "-", re.sub(r"[0-9]", "0", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", token[:200])))))[:10]
     values = min(len(set(token)) * 4 // len(token), 3)
     names = [f"kinds {kinds}", f"length {min(len(token) // 8, 6)}", f"runs {min(runs, 12)}", f"runs {min(runs * 4 // len(token), 3)} {kinds}", f"shape {short}", f"values {values}"]
+    hard, head = letter_shape(token)
+    lone = min(len(re.findall(r"(?<=[A-Z])[a-z](?=[A-Z])|(?<=[a-z])[A-Z](?=[A-Z][a-z])", token)), 3)
+    names += [f"consonants {hard}", f"consonants {hard} {kinds}", f"lone {lone}", f"head {head}"]
     if re.fullmatch(r"[0-9.,:/+() -]+", token):
         names.append("number")
     if re.fullmatch(r"[0-9a-fA-F]+", token):
@@ -99,12 +117,33 @@ def numbers(names: list[str]) -> list[int]:
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
-def labelled_lines(count: int = 1500, seed: int = 7) -> list[list[tuple[str, int]]]:
+def labelled_lines(count: int = 8000, seed: int = 7) -> list[list[tuple[str, int]]]:
     """Lines to learn from, as (token, tag), written by rule with a fixed seed."""
     rng = random.Random(seed)
     some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: "".join(rng.choice("the an on ing tion er re st ou ent sch lich keit que eau ment ción os ra".split()) for _ in range(rng.randint(1, 4)))
+    syllable = lambda: rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s"])
+
+    def word() -> str:
+        if rng.random() < 0.5:
+            return "".join(rng.choice("the an on ing tion er re st ou ent sch lich keit que eau ment ción os ra é ä ü".split()) for _ in range(rng.randint(1, 7)))
+        return rng.choice(["a", "of", "to", "is", "and", "was", "for", "with", *("".join(syllable() for _ in range(rng.randint(1, 5))) for _ in range(8))])
+
+    cap = lambda: word().capitalize()
+
+    def part() -> str:
+        return rng.choice(["get", "set", "user", "name", "list", "on", "to", "by", "id", *("".join(syllable() for _ in range(rng.randint(1, 3))) for _ in range(6))])
+
+    def prose(n: int) -> list[tuple[str, int]]:
+        return [((x.capitalize() if rng.random() < (0.2 if k else 0.6) else x.upper() if rng.random() < 0.04 else x) + (rng.choice(["***", "%%%", "###", "!!", "$$$"]) if rng.random() < 0.03 else ""), 0) for k, x in enumerate(word() for _ in range(n))]
+
+    named = lambda: rng.choice(["password", "pwd", "pass", "passwd", "credentials", "passphrase", "secret"])
+    sign = lambda: rng.choice([[], [("=", 0)], [(":", 0)], [("is", 0)]])
+
+    def letters_of(n: int, letters: str = low + up) -> str:
+        made = [*some(letters, n - 2), rng.choice(low), rng.choice(up)]
+        rng.shuffle(made)
+        return "".join(made)
 
     def mixed(n: int, letters: str = low + up + dig) -> str:
         made = list(some(letters, n))
@@ -119,6 +158,15 @@ def labelled_lines(count: int = 1500, seed: int = 7) -> list[list[tuple[str, int
         lambda: [(rng.choice(["key", "access_key", "auth", "client_secret", "private_key"]), 0), (rng.choice(["=", ":"]), 0), (mixed(rng.randint(20, 48), low + up + dig + "+/"), 1)],
         lambda: [("eyJ" + mixed(30) + "." + mixed(60) + "." + mixed(40), 1)],
         lambda: [("-----KEY", 0), (mixed(64, low + up + dig + "+/"), 1), (mixed(64, low + up + dig + "+/"), 2), (mixed(32, low + up + dig + "+/"), 2), ("-----END", 0)],
+        lambda: [(rng.choice(["ghp_", "sk_live_", "sk-", "xoxb-", "glpat-", "pk_"]) + mixed(rng.randint(20, 40), rng.choice([low, up]) + dig), 1)],
+        # without digits, or short
+        lambda: [*rng.choice([[("Authorization:", 0), ("Bearer", 0)], [("Bearer", 0)]]), (letters_of(rng.randint(16, 60)), 1)],
+        lambda: [(named(), 0), *sign(), (letters_of(rng.randint(8, 24)), 1)],
+        lambda: [(named(), 0), *sign(), (letters_of(rng.randint(4, 9)) + rng.choice("-_+/#$&") + letters_of(rng.randint(3, 9)), 1)],
+        lambda: [(named(), 0), *sign(), (mixed(rng.randint(5, 7), low + up + dig + "#$&"), 1)],
+        lambda: [(named(), 0), *rng.choice([[("=", 0)], [(":", 0)], []]), ("-".join(part() for _ in range(rng.randint(3, 6))), 1)],
+        lambda: [(rng.choice(["key", "access_key", "auth", "client_secret", "private_key"]), 0), (rng.choice(["=", ":"]), 0), (letters_of(rng.randint(20, 48), low + up + "+/"), 1)],
+        lambda: [("-----KEY", 0), *((rng.choice([letters_of, mixed])(n, low + up + "+/"), 2 if k else 1) for k, n in enumerate([64, 64, rng.randint(10, 60)])), ("-----END", 0)],
     ]
     plain = [
         lambda: [(some(dig, rng.randint(8, 19)), 0)],
@@ -132,11 +180,27 @@ def labelled_lines(count: int = 1500, seed: int = 7) -> list[list[tuple[str, int
         lambda: [(f"v{rng.randint(0, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 30)}-beta{rng.randint(1, 9)}", 0)],
         lambda: [(word() + rng.choice(["%%%", "###", "$$$", "***", "&&&"]), 0)],
         lambda: [(f"{some(dig, 3)}{rng.choice(['%%%', '###', '&&&'])}", 0), (some(dig, 16) + rng.choice(["%%%", "###", "$$$"]), 0)],
+        lambda: [("".join(part().capitalize() for _ in range(rng.randint(2, 4))), 0)],
+        lambda: [(word() + cap(), 0), (rng.choice(["=", "(", "{", ":"]), 0), ("".join([part(), part().capitalize(), part().capitalize()]) + rng.choice(["", "()", ";"]), 0)],
+        lambda: [(rng.choice("-_/.|").join(word() for _ in range(rng.randint(2, 5))), 0)],
+        lambda: [("/" + "/".join(word() for _ in range(rng.randint(2, 5))) + rng.choice(["", ".py", ".txt"]), 0)],
+        lambda: [(f"https://{word()}.example.org/{word()}/{word()}", 0), (f"{word()}.{word()}@{word()}.example.com", 0)],
+        lambda: [(word().upper(), 0), (word().upper() + rng.choice(["!!", "***", "_" + word().upper()]), 0)],
+        lambda: [(rng.choice(["|", "-", "===", "-----", "--", "*", "#", "//", "&&", "->"]), 0), (cap(), 0), (rng.choice(["|", "+", "="]), 0), (word(), 0)],
+        lambda: [(f"<{word()}>{word()}</{word()}>", 0), (f"{word()}'{rng.choice(['s', 't', 're'])}", 0), (f"{word()}...{word()}", 0)],
+        lambda: [(rng.choice([named(), named().capitalize()]), 0), *prose(rng.randint(1, 4))],
+        lambda: prose(rng.randint(1, 12)),
+        lambda: [(word(), 0), *((cap(), 0) for _ in range(rng.randint(1, 4)))],
+        lambda: [(rng.choice(["Bearer", "key", "token", "auth", "api", "key"]), 0), *rng.choice([[], [("is", 0)]]), (word(), 0), (word(), 0)],
+        lambda: [(word(), 0), (rng.choice(["=", ":"]), 0), (rng.choice([word, cap])(), 0)],
+        lambda: [("".join(chr(rng.randint(a, a + 200)) for _ in range(rng.randint(1, 30))), 0) for a in [rng.choice([0x4E00, 0x3B1, 0xAC00])]],
+        lambda: [("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(rng.randint(1, 14))), 0), ("".join(rng.choice("αβγδεζηικλμνοπ") for _ in range(rng.randint(1, 12))), 0)],
+        lambda: [(str(rng.randint(0, 2030)), 0), (rng.choice([f"{rng.randint(0, 99)}%", f"${rng.randint(1, 999)}", f"{rng.randint(1, 23)}:{rng.randint(10, 59)}", f"{rng.randint(1, 9)}th"]), 0)],
     ]
     lines = []
     for number in range(count):
         middle = rng.choice(secrets if number % 3 == 0 else plain)()
-        lines.append([*((word(), 0) for _ in range(rng.randint(0, 6))), *middle, *((word(), 0) for _ in range(rng.randint(0, 6)))])
+        lines.append([*prose(rng.randint(0, 6)), *middle, *prose(rng.randint(0, 6))])
     return lines
 
 
@@ -147,7 +211,7 @@ def fit() -> dict:
     for number, line in enumerate(lines):
         first.append(len(tokens))
         file = ("file code",) if number % 4 == 0 else ("file assigns", "file one line") if number % 4 == 1 else ()
-        tokens += [(t, file) for t, _ in line]
+        tokens += [(t[slice(*core(t))], file) for t, _ in line]
         tags += [tag for _, tag in line]
     types = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
     # own features and neighbour features share a table; they differ by name
@@ -160,44 +224,142 @@ def fit() -> dict:
     return model
 
 
-def tagged_spans(text: str, model: dict) -> list[tuple[str, int, int]]:
-    """Spans that the field tags, in order; tokens of a secret that goes on are one span."""
-    if not any(d in text for d in "0123456789"):
+class Scores(dict):
+    """Numbers of pieces of text, and by number what a piece's token adds to the scores: its own (3), those of the next token (3), those of the one before (3)."""
+
+    def __init__(self, model: dict):
+        own, before, after = model["weights"]
+        self.weights = np.concatenate([own, before, after], axis=1)
+        between, start = model["between"], model["start"]
+        self.between, self.start = between, start
+        self.nothing = self.weights[numbers(["nothing"])].sum(axis=0)
+        # least gains of a token's turning from BEGIN or INSIDE to OUT, by what is on its left, and on its right if that stays; see sure_outside
+        tags = [BEGIN, INSIDE]
+        self.left = np.array([(between[:, OUT] - between[:, b]).min() for b in tags])
+        self.first = start[OUT] - start[tags]
+        self.right = np.array([min(between[OUT, q] - between[b, q] for q in (OUT, BEGIN)) for b in tags])
+        self.turn = np.array([between[OUT, BEGIN] - between[b, INSIDE] for b in tags]) + min(0.0, (between[BEGIN] - between[INSIDE]).min())
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.shapes, self.shape_rows, self.shape_table, self.count = {}, [], np.zeros((0, 9)), 0
+        self.rows, self.empty, self.new = np.zeros((1024, 9)), np.zeros(1024, dtype=bool), []
+
+    def __missing__(self, piece: str) -> int:
+        token = piece[slice(*core(piece))]
+        key = (token.translate(ALIKE), min(len(set(token)) * 4 // max(len(token), 1), 3), HEXLIKE.fullmatch(token) is not None, letter_shape(token))
+        shape = self.shapes.get(key)
+        if shape is None:
+            shape = len(self.shape_table) + len(self.shape_rows)
+            self.shape_rows.append(self.weights[numbers(shape_of(token))].sum(axis=0))
+            if len(piece) <= LONG:
+                self.shapes[key] = shape
+        number = self.count + len(self.new)
+        self.new.append((shape, *numbers(word_shape(token)), token == ""))
+        if len(piece) <= LONG:
+            self[piece] = number
+        return number
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by number, and whether the token is empty."""
+        if self.new:
+            new, upto = np.array(self.new, dtype=np.int64), self.count + len(self.new)
+            if upto > len(self.rows):
+                more = max(upto, 2 * len(self.rows)) - len(self.rows)
+                self.rows, self.empty = np.concatenate([self.rows, np.zeros((more, 9))]), np.concatenate([self.empty, np.zeros(more, dtype=bool)])
+            if self.shape_rows:
+                self.shape_table, self.shape_rows = np.concatenate([self.shape_table, self.shape_rows]), []
+            self.rows[self.count : upto] = self.shape_table[new[:, 0]] + self.weights[new[:, 1:4]].sum(axis=1)
+            self.empty[self.count : upto] = new[:, 4]
+            self.count, self.new = upto, []
+        return self.rows, self.empty
+
+    def sure_outside(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which tokens the best path leaves outside, whatever the tags beside them.
+
+        In any path with another tag there, that tag is turned to OUT, and an INSIDE after it to BEGIN; if that always gains, no best path has it.
+        """
+        turned = np.append(scores[1:, BEGIN] - scores[1:, INSIDE], 0.0)
+        right = np.minimum(self.right, self.turn + turned[:, None])
+        last = np.append(first[1:], True)
+        right[last] = 0.0
+        left = np.where(first[:, None], self.first, self.left)
+        return (scores[:, :1] - scores[:, 1:] + left + right).min(axis=1) > 1e-6
+
+
+def tagged_spans(text: str, model: dict, known: Scores | None = None) -> list[tuple[str, int, int]]:
+    """Spans that the field tags, in order; tokens of a secret that goes on are one span. ``known`` keeps scores from text to text."""
+    known = Scores(model) if known is None else known
+    if known.count > KNOWN:
+        known.reset()
+    lines = text.split("\n")
+    pieces = [line.split() for line in lines]
+    counts = np.array([len(p) for p in pieces])
+    ids = np.array([known[p] for line in pieces for p in line], dtype=np.int64)
+    if not len(ids):
+        return []
+    heads = np.cumsum(counts) - counts
+    first = np.zeros(len(ids), dtype=bool)
+    first[heads[counts > 0]] = True
+    last = np.append(first[1:], True)
+    rows, empty = known.table()
+    rows, empty = rows[ids], empty[ids]
+    file = known.weights[numbers(file_features(text))].sum(axis=0)
+    scores = rows[:, :3] + file[:3]
+    scores[1:] += rows[:-1, 3:6] + file[3:6]
+    scores[:-1] += rows[1:, 6:] + file[6:]
+    # beyond the ends of a line there is no token
+    scores[first] += known.nothing[3:6]
+    scores[last] += known.nothing[6:]
+    inner = np.flatnonzero(first[1:]) + 1
+    scores[inner] -= rows[inner - 1, 3:6] + file[3:6]
+    scores[inner - 1] -= rows[inner, 6:] + file[6:]
+    scores[empty, 1:] = -1e9
+    open_ = np.flatnonzero(~known.sure_outside(scores, first))
+    if not len(open_):
         return []
-    pieces = [(m.start(), m[0]) for m in PIECE.finditer(text)]
-    places = [(s + a, s + b) for s, p in pieces for a, b in [core(p)]]
-    open_ = [i for i, (a, b) in enumerate(places) if b - a >= LEAST and may_be_secret(text[a:b])]
-    file, out, k = numbers(file_features(text)), [], 0
-    own, before, after = model["weights"]
-
-    def line(i: int, j: int) -> bool:
-        return "\n" in text[places[i][1] : places[j][0]]
-
-    def feats(i: int) -> list[int]:
-        token = text[places[i][0] : places[i][1]]
-        return numbers([*shape_of(token), *word_shape(token)]) + file
-
-    while k < len(open_):
-        run = [open_[k]]
-        while k + 1 < len(open_) and open_[k + 1] == run[-1] + 1 and not line(run[-1], open_[k + 1]):
-            k += 1
-            run.append(open_[k])
-        k += 1
-        i, j = run[0] - 1, run[-1] + 1
-        has_left, has_right = i >= 0 and not line(i, run[0]), j < len(places) and not line(run[-1], j)
-        around = [feats(i) if has_left else numbers(["nothing"]), *(feats(x) for x in run), feats(j) if has_right else numbers(["nothing"])]
-        scores = np.array([own[around[x]].sum(axis=0) + before[around[x - 1]].sum(axis=0) + after[around[x + 1]].sum(axis=0) for x in range(1, len(around) - 1)])
-        start = model["between"][OUT] if has_left else model["start"]
-        end = model["between"][:, OUT] if has_right else np.zeros(3)
-        for tag, x in zip(crf.viterbi(scores, model["between"], start, end), run, strict=True):
-            if tag == BEGIN:
-                out.append(("tagged", *places[x]))
-            elif tag == INSIDE and out:
-                out[-1] = ("tagged", out[-1][1], places[x][1])
+    fresh = np.append(True, (np.diff(open_) > 1) | first[open_[1:]])
+    begins = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(begins, len(open_)))
+    starts = np.where(first[open_[begins], None], known.start, known.between[OUT])
+    ends = np.where(last[open_[begins + sizes - 1], None], 0.0, known.between[:, OUT])
+    tags = np.zeros(len(open_), dtype=np.int64)
+    one = sizes == 1
+    tags[begins[one]] = (starts[one] + scores[open_[begins[one]]] + ends[one]).argmax(axis=1)
+    for k in np.flatnonzero(~one):
+        at = slice(begins[k], begins[k] + sizes[k])
+        tags[at] = crf.viterbi(scores[open_[at]], known.between, starts[k], ends[k])
+    wanted = np.flatnonzero(tags != OUT)
+    if not len(wanted):
+        return []
+    out, offsets, at_line, places = [], np.cumsum([0, *(len(x) + 1 for x in lines)]), -1, []
+    of = np.searchsorted(heads, open_[wanted], "right") - 1
+    for k, n in zip(wanted.tolist(), of.tolist(), strict=True):
+        if n != at_line:
+            at_line, places = n, [m.start() for m in PIECE.finditer(lines[n])]
+        i = int(open_[k] - heads[n])
+        a, b = core(pieces[n][i])
+        a, b = int(offsets[n]) + places[i] + a, int(offsets[n]) + places[i] + b
+        if tags[k] == BEGIN:
+            out.append(("tagged", a, b))
+        elif out:
+            out[-1] = ("tagged", out[-1][1], b)
     return out
 
 
-def spans_of(text: str | None, model: dict) -> list[dict]:
+KEPT: dict[str, Scores] = {}
+
+
+def kept_scores(name: str, model: dict) -> Scores:
+    """The scores that this process keeps from task to task, of the model used last."""
+    if name not in KEPT:
+        KEPT.clear()
+        KEPT[name] = Scores(model)
+    return KEPT[name]
+
+
+def spans_of(text: str | None, model: dict, known: Scores | None = None) -> list[dict]:
     """All spans of a text by kind, then start: those of the patterns, then tagged ones that overlap none of them."""
     if not text:
         return []
@@ -205,7 +367,7 @@ def spans_of(text: str | None, model: dict) -> list[dict]:
     taken = sorted((s, e) for _, s, e in base)
     starts, reach = np.array([s for s, _ in taken]), np.maximum.accumulate([e for _, e in taken]) if taken else []
     more = []
-    for kind, s, e in tagged_spans(text, model):
+    for kind, s, e in tagged_spans(text, model, known):
         at = int(np.searchsorted(starts, e)) - 1 if taken else -1  # spans that start before this one ends
         if at < 0 or reach[at] <= s:
             more.append((kind, s, e))
@@ -217,12 +379,15 @@ def with_secrets(documents: DataFrame, text: str = "text", out: str = "secrets")
 
     Null and empty texts have none. Spans of different patterns may overlap. Other columns are kept; repeated rows are scanned alike.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(fit())
+    model = fit()
+    name = hashlib.sha256(b"".join(x.tobytes() for x in (model["between"], model["start"], *model["weights"]))).hexdigest()
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(SPANS)
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = kept_scores(name, shared.value)
         for batch in texts:
-            yield pd.Series([spans_of(t, shared.value) for t in batch], dtype=object)
+            yield pd.Series([spans_of(t, shared.value, known) for t in batch], dtype=object)
 
     return documents.withColumn(out, scan(F.col(text).cast("string")))
 
