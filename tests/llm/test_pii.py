@@ -97,3 +97,21 @@ def test_no_python_in_the_plan(documents, capsys):
     pii.personal_data(documents([(1, "x@y.z")])).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_other_forms_are_proposed_and_judged(documents):
+    personal = {
+        "phone": ["call 5551234567 now", "tel 01 23 45 67 89", "phone (030) 12345678", "mobile 0171 2345678"],
+        "ssn": ["ssn 078 05 1120"],
+        "iban": ["iban de89 3704 0044 0532 0130 00 and more", "account gb82west12345698765432"],
+        "ip": ["client 2001:db8::1", "host fe80::1 is up"],
+    }
+    rows = [(i, text) for i, text in enumerate(t for texts in personal.values() for t in texts)]
+    kinds = [k for k, texts in personal.items() for _ in texts]
+    other = ["order 5551234567", "the 100 20 3000 left", "section 1::2", "std::cout << a::b", "serial 01 23 45 67 89", "serial xy99abcdefghijklmnop"]
+    rows += [(100 + i, text) for i, text in enumerate(other)]
+    got = {r.doc_id: (r.text, r.pii) for r in pii.with_personal_data(documents(rows)).select("doc_id", "text", "pii").collect()}
+    words = {0: "5551234567", 5: "de89 3704 0044 0532 0130 00", 7: "2001:db8::1", 8: "fe80::1"}
+    assert [[s.kind for s in got[i][1]] for i in range(len(kinds))] == [[k] for k in kinds]
+    assert {i: got[i][0][got[i][1][0].start : got[i][1][0].end] for i in words} == words
+    assert [got[100 + i][1] for i in range(len(other))] == [[]] * len(other)

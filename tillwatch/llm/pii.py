@@ -1,8 +1,8 @@
 """Personal data: candidate spans from generous patterns, judged by gradient-boosted trees, in DataFrame expressions only.
 
 Base spans come from fixed patterns and checks and always stay. Beside them, generators propose spans that may overlap each other:
-national phone numbers, mail addresses with "at" and "dot" spelt out, account and identity numbers, IPv6 addresses, card-like numbers
-of other lengths. Each candidate has features of its format (digits, groups, checksum) and its context (what is written before
+national phone numbers (with or without separators, in pairs), mail addresses with "at" and "dot" spelt out, account numbers in upper or
+lower case, identity numbers with hyphens or spaces, IPv6 addresses (whole or with ``::``), card-like numbers of other lengths. Each candidate has features of its format (digits, groups, checksum) and its context (what is written before
 it and on either side). Boosted trees, trained on a small labelled table, give log-odds; a logistic curve fitted on labelled rows that the trees
 have not seen turns them into probabilities, and each kind has the least threshold at which its precision there reaches a
 target. Of overlapping candidates the likeliest stays; one that overlaps a base span goes.
@@ -31,11 +31,12 @@ BASE = {
 }
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])",
+    "phone": r"(?<![0-9+.-])(?:(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\([0-9]{2,5}\) ?[0-9]{5,9}|[0-9]{2}(?:[ .-][0-9]{2}){3,5}|[0-9]{3,5}[ ./-][0-9]{5,9}|[0-9]{3}[.-][0-9]{4}|[0-9]{7,12})(?![0-9-])",
     "card": r"(?<![0-9.+-])[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{3,5}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ssn": r"(?<![0-9-])[0-9]{3}(?:-[0-9]{2}-| [0-9]{2} )[0-9]{4}(?![0-9-])",
+    # in lower case, what stands after a space goes on with the number only up to a digit, not through plain words
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2} ?[a-z0-9]{4}(?:[a-z0-9]{4}| (?=[a-z]{0,3}[0-9]|[a-z]{4} ?[a-z]{0,3}[0-9])[a-z0-9]{4}){2,6}(?:[a-z0-9]{1,3}| (?=[a-z]{0,2}[0-9])[a-z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ip": r"(?<![0-9A-Za-z:_])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![0-9A-Za-z:_])",
 }
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban"]
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -77,6 +78,15 @@ LABELLED = [
     ("email", "the part ", "7 (at) 1.10", " unit", 0), ("email", "order ", "12[at]4.99", "", 0),
     ("ip", "client ", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "", 1), ("ip", "host ", "fe80:0:0:0:202:b3ff:fe1e:8329", "", 1), ("ip", "address ", "2001:db8:0:1:1:1:1:1", "", 1), ("ip", "from ", "2a00:1450:4001:81b:0:0:0:200e", "", 1),
     ("ip", "section ", "1:2:3:4:5:6:7:8", "", 0), ("ip", "ref ", "10:20:30:40:50:60:70:80", "", 0), ("ip", "chapter ", "1:1:1:1:1:1:1:1", "", 0), ("ip", "part ", "0:0:0:0:0:0:0:0", "", 0),
+    # other forms
+    ("phone", "call ", "5551234567", "", 1), ("phone", "tel ", "01 23 45 67 89", ".", 1), ("phone", "phone ", "(030) 12345678", "", 1), ("phone", "mobile: ", "0171 2345678", "", 1), ("phone", "fax ", "06.12.34.56.78", "", 1), ("phone", "contact ", "030/1234567", " now", 1),
+    ("phone", "dial ", "555-0134", ".", 1), ("phone", "cell ", "2125550187", " today", 1), ("phone", "whatsapp ", "(0711) 234567", "", 1), ("phone", "call me at ", "02 98 76 54 32", "", 1), ("phone", "phone no ", "4155552671", "", 1), ("phone", "tel: ", "089-9876543", "", 1),
+    ("phone", "order ", "5551234567", "", 0), ("phone", "serial ", "01 23 45 67 89", "", 0), ("phone", "the ", "20210101", " build", 0), ("phone", "item ", "0171 2345678", "", 0), ("phone", "has ", "1234567", " rows", 0), ("phone", "version ", "12.34.56.78.90", "", 0),
+    ("phone", "between ", "10 20 30 40", " of them", 0), ("phone", "invoice ", "555-0134", "", 0), ("phone", "sum ", "1000000000", "", 0), ("phone", "dated ", "2021-0101", "", 0), ("phone", "id ", "4155552671", "", 0), ("phone", "ref ", "030/1234567", "", 0),
+    ("ssn", "ssn ", "078 05 1120", "", 1), ("ssn", "social security ", "219 09 9999", ".", 1), ("ssn", "tax id ", "457 55 5462", "", 1), ("ssn", "order ", "078 05 1120", "", 0), ("ssn", "the ", "100 20 3000", " left", 0), ("ssn", "serial ", "219 09 9999", "", 0),
+    ("iban", "iban ", "de89 3704 0044 0532 0130 00", "", 1), ("iban", "account ", "gb82west12345698765432", "", 1), ("iban", "bank transfer to ", "fr1420041010050500013m02606", ".", 1), ("iban", "serial ", "xy99abcdefghijklmnop", "", 0), ("iban", "model ", "ab12 cdef ghij1 klmn", "", 0), ("iban", "ref ", "gb82west12345698765432", "", 0),
+    ("ip", "client ", "2001:db8::1", "", 1), ("ip", "host ", "fe80::1", "", 1), ("ip", "address ", "2a00:1450:4001:81b::200e", ".", 1), ("ip", "server ", "fd12:3456:789a::", "", 1), ("ip", "from ", "2001:db8:85a3::8a2e:370:7334", "", 1), ("ip", "the ", "fe80::202:b3ff:fe1e:8329", " is up", 1),
+    ("ip", "section ", "1::2", "", 0), ("ip", "ref ", "ab::cd", "", 0), ("ip", "chapter ", "2::10", "", 0), ("ip", "part ", "3::", "", 0), ("ip", "the ", "a::b", " name", 0), ("ip", "version ", "10::20", "", 0),
 ]
 
 
@@ -173,7 +183,7 @@ def features(text: Column, kind: str, match: Column, start: Column, end: Column)
     after = text.substr(end + 1, F.lit(1))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     each = [flag(F.lit(kind == k)) for k in KINDS]
-    context = [flag(before.rlike(f"(?:{words})[^0-9A-Za-z]*(?:no|nr|id|number|to|at|me|with)?[^0-9A-Za-z]*$")) for words in CONTEXT.values()]
+    context = [flag(before.rlike(f"(?:{words})[^0-9A-Za-z]*(?:(?:no|nr|id|number|to|at|me|with)[^0-9A-Za-z]*){{0,2}}$")) for words in CONTEXT.values()]
     return F.array(
         *each,
         *context,
@@ -220,8 +230,11 @@ def fit(spark: SparkSession, trees: int = 12, depth: int = 3, precision: float =
     thresholds = {}
     for kind in GENERATORS:
         mine, right = p[kinds == kind], y[part][kinds == kind]
-        good = [t for t in sorted(set(mine.tolist())) if right[mine >= t].mean() >= precision]
-        thresholds[kind] = max(good[0], 0.5) if good else 1.1
+        seen = sorted(set(mine.tolist()))
+        good = [t for t in seen if right[mine >= t].mean() >= precision]
+        # any value down to the next lower score divides these rows alike; half way leaves room for others on both sides
+        under = max((t for t in seen if t < good[0]), default=0.0) if good else 0.0
+        thresholds[kind] = max((good[0] + under) / 2, 0.5) if good else 1.1
     return model | {"a": a, "b": b, "thresholds": thresholds}
 
 
@@ -266,8 +279,8 @@ def with_personal_data(documents: DataFrame, text: str = "text", base: str = "ba
     """
     model = fit(documents.sparkSession)
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    # texts without a digit or an at sign have no span
-    rows = documents.withColumn(f"{TEMP}text", F.when(plain.rlike(r"[0-9@]|[\[(]at[\])]"), plain).otherwise(""))
+    # texts without a digit, an at sign or two colons have no span
+    rows = documents.withColumn(f"{TEMP}text", F.when(plain.rlike(r"[0-9@]|::|[\[(]at[\])]"), plain).otherwise(""))
     patterns = {**{f"{TEMP}base_{k}": p for k, p in BASE.items()}, **{f"{TEMP}more_{k}": p for k, p in GENERATORS.items()}}
     rows = with_matches(rows, f"{TEMP}text", patterns)
     rows = rows.withColumns({
