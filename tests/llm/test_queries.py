@@ -16,6 +16,9 @@ COLUMNS = {
     "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9": "page_id host path rule verdict",
     "op10": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11": "doc_id size source_size target taken",
+    "op12": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op13": "vec_id component n deviation whitened explained identity_error",
 }
 
 
@@ -26,7 +29,7 @@ def test_one_query_for_each_operator():
     assert sorted(n.split("_")[0] for n in names) == sorted(COLUMNS) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_sharding", "op4_topk"])
+@pytest.mark.parametrize("name", ["op2_sharding", "op4_topk", "op11_mixing", "op12_prefix_trie"])
 def test_sql(spark, name):
     from tillwatch.llm import queries
 

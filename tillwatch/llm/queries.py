@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm import bpe, decontaminate, html_extract, ngram_join, pii, secret_scan, sharding, topk, toxicity, url_filter
+from tillwatch.llm import bpe, decontaminate, html_extract, mixing, ngram_join, pii, prefix_trie, secret_scan, sharding, topk, toxicity, url_filter, whitening
 from tillwatch.session import Workspace
 
 SHARDS = 40
+SOURCE_WEIGHTS = [3, 1, 2]
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -72,6 +73,18 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer_file())
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, folder, "documents"), Workspace(spark), SOURCE_WEIGHTS)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"), Workspace(spark))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -84,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_url_filter": op9_url_filter,
         "op10_bpe": op10_bpe,
+        "op11_mixing": op11_mixing,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -164,5 +180,71 @@ from sets left join members using (r) left join least_id using (c)
 """
 
 
+# With one source a document, the flow into a source is its quota, and the line of a source is cut there.
+MIXING_SQL = """
+with rows as (
+  select doc_id, coalesce('k' || source, 'null') as key,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as size,
+         cast('0x' || substr(md5('0:' || coalesce('k' || cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) as bigint) as place
+  from documents
+), sources as (
+  select key, cast(sum(size) as bigint) as source_size, cast([3, 1, 2][cast((row_number() over (order by key) - 1) % 3 as bigint) + 1] as bigint) as weight from rows group by key
+), ranked as (
+  select *, 1.5e0 * sum(source_size) over () - coalesce(sum(2 * source_size) over before, 0) as words_left,
+         sum(weight) over () - coalesce(sum(weight) over before, 0) as weight_left
+  from sources window before as (order by 2e0 * source_size / weight, key rows between unbounded preceding and 1 preceding)
+), capped as (
+  select *, 2 * source_size <= words_left / weight_left * weight as full_up from ranked
+), targets as (
+  select key, source_size, cast(case when full_up then 2 * source_size else (select max(words_left / weight_left) filter (weight_left = w) from capped, (select max(weight_left) as w from capped where not full_up)) * weight end as double) as target from capped
+), line as (
+  select *, coalesce(sum(size) over (partition by key order by place, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as first,
+         sum(size) over (partition by key) as n
+  from rows
+)
+select doc_id, cast(size as bigint) as size, source_size, target,
+       cast(greatest(0, least(floor(target + 0.5e0) - first, size)) + greatest(0, least(floor(target + 0.5e0) - n - first, size)) as bigint) as taken
+from line join targets using (key)
+"""
+
+
+PREFIX_TRIE_SQL = """
+with crc_table as (
+  select list(c order by b) as steps from (
+    select b, list_reduce(list_concat([b], range(8)), lambda a, i: case when a % 2 = 1 then xor(3988292384::bigint, a // 2) else a // 2 end) as c
+    from (select unnest(range(256)) as b))
+), rows as (
+  select conv_id, turn, coalesce(text, '') as t, coalesce(role, '') as r from conversations where conv_id is not null
+), turns as (
+  select conv_id, turn, substr(sha256(cast(octet_length(encode(r)) as varchar) || ':' || r || t), 1, 32) as d,
+         len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as w
+  from rows
+), own as (
+  select conv_id, list(d order by turn nulls first, d) as ds, list(w order by turn nulls first, d) as ws from turns group by conv_id
+), coded as (
+  select *, xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+         lambda a, b: xor(a // 256, steps[xor(a, b) % 256 + 1]))) % 4 as h
+  from own, crc_table
+), paths as (
+  select c.conv_id, list_concat(coalesce(b.ds[1:c.h], []), c.ds[c.h + 1:]) as ds, list_concat(coalesce(b.ws[1:c.h], []), c.ws[c.h + 1:]) as ws
+  from coded c left join own b on b.conv_id = c.conv_id - c.conv_id % 20
+), members as (
+  select conv_id, unnest(range(0, len(ds) + 1)) as d, ds, ws from paths
+), nodes as (
+  select array_to_string(ds[1:d], '') as k, d, min(conv_id) as conv_id, count(*) as n, coalesce(min(ws[d]), 0) as w,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(ds) = d), '')) as ends
+  from members group by 1, 2
+), children as (
+  select substr(k, 1, 32 * (d - 1)) as k, count(*) as n_children from nodes where d > 0 group by 1
+), below as (
+  select substr(n.k, 1, 32 * j) as k, count(*) filter (n_children is null) as n_leaves, sum((n - 1) * w) as saved
+  from (select nodes.*, n_children, unnest(range(0, d + 1)) as j from nodes left join children using (k)) n group by 1
+)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n as n_convs, coalesce(c.n_children, 0) as n_children, b.n_leaves,
+       cast(b.saved as bigint) as saved_tokens, n.ends as ends_sha256
+from nodes n left join nodes p on n.d > 0 and p.k = substr(n.k, 1, 32 * (n.d - 1)) left join children c on c.k = n.k join below b on b.k = n.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": SHARDING_SQL, "op4_topk": TOPK_SQL, "op6_ngram_join": NGRAM_JOIN_SQL}
+    return {"op2_sharding": SHARDING_SQL, "op4_topk": TOPK_SQL, "op6_ngram_join": NGRAM_JOIN_SQL, "op11_mixing": MIXING_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL}
