@@ -79,3 +79,20 @@ def test_documents(documents, library):
     decode = bpe.Bpe(table.sparkSession, PATH).decode
     assert coded.select(decode("ids")).first()[0] == library.decode(library.encode("Hello  wörld", add_special_tokens=False).ids)
     assert bpe.round_trip(table.limit(0), PATH).collect() == [] and set(table.columns) < set(coded.columns)
+
+
+def test_every_code_point_splits_and_lowers_as_in_the_library(library):
+    tables = bpe.load(PATH)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for start in range(0, len(points), 4000):
+        texts = [t for c in points[start : start + 4000] for t in (c, f"a{c}b", f"e{c}́ 9{c}̖")]
+        wrong = [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if bpe.encode_text(tables, t).tolist() != e.ids]
+        assert wrong == []
+
+
+def test_random_unicode(library):
+    rng, tables = random.Random(9), bpe.load(PATH)
+    for _ in range(5000):
+        points = [rng.choice([rng.randint(32, 126), rng.randint(1, 0x2FFF), rng.randint(0x300, 0x36F), rng.randint(1, 0x10FFFF)]) for _ in range(rng.randint(1, 14))]
+        text = "".join(chr(c) for c in points if not 0xD800 <= c <= 0xDFFF)
+        assert bpe.encode_text(tables, text).tolist() == library.encode(text, add_special_tokens=False).ids, text

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import LONG
 from tillwatch.llm import decontaminate as dc
@@ -70,3 +72,21 @@ def test_leaks_in_documents(spark, documents):
     assert sorted(map(str, blocks)) == sorted(map(str, got))
     assert dc.leaks(documents(rows), benchmark.limit(0)).collect() == [] and dc.leaks(documents(rows).limit(0), benchmark).collect() == []
     assert set(documents(rows).columns) < set(dc.with_leaks(documents(rows), benchmark).columns)
+
+
+def test_repeated_phrases_take_time_in_proportion():
+    item = [w for i in range(100) for w in (*[1] * 5, 10 + i)]
+    text = [w for _ in range(4000) for w in (*[1] * 5, 2)]
+    start = time.process_time()
+    tiles = dc.tile(np.array(item), np.array(text), 5)
+    assert len(tiles) == 100 and {n for _, _, n in tiles} == {5} and time.process_time() - start < 1.5
+
+
+def test_one_block_at_a_time(spark, documents):
+    benchmark = spark.createDataFrame([(i, f"{ITEM} {i} {i}") for i in range(6)], "item_id bigint, text string")
+    assert dc.block_count(benchmark, 20) > 3
+    docs = documents([(1, f"{ITEM} 3 3"), (2, None), (2, "none of it"), (1, f"{ITEM} 3 3")]).withColumn("leaks", F.lit("old"))
+    found = dc.with_leaks(docs, benchmark, block_words=20)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0  # each block was looked up and written before
+    got = [(r.doc_id, sorted(x.item_id for x in r.leaks)) for r in found.collect()]
+    assert sorted(got) == [(1, list(range(6))), (1, list(range(6))), (2, []), (2, [])] and sorted(found.columns) == sorted(docs.columns)

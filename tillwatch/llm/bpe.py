@@ -28,10 +28,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwatch.llm.memory import small_batches, tidied
+
 CACHED_WORDS = 400_000
 CACHED_PAIRS = 300_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
+# Where the tokenizers library's Unicode tables differ from those of this Python and of regex; found by comparing all code points.
+# Letters and digits of regex that the library takes for neither.
+NO_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E "
+    "2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+NO_DIGITS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+# Marks that its normalization takes for base characters, so that nothing is composed or reordered across them.
+NO_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF "
+    "10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 "
+    "11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF "
+)
+# Upper-case letters (first, last) that only the library lower-cases, and how far away their lower-case letters are.
+MORE_CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+
+
+def any_of(ranges: str) -> str:
+    """A pattern's class of the code points in ranges of hexadecimal numbers."""
+    return "[" + "".join("-".join(f"\\U{int(c, 16):08X}" for c in r.split("-")) for r in ranges.split()) + "]"
+
+
+OTHER = re.compile(any_of(f"{NO_LETTERS} {NO_DIGITS}"))
+BETWEEN = re.compile(f"({any_of(NO_MARKS)})")
+CAPITAL = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in MORE_CAPITALS) + "]")
+LOWER = {c: c + by for a, b, by in MORE_CAPITALS for c in range(a, b + 1)}
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where it prints, else the next from U+0100."""
@@ -146,21 +181,33 @@ def encode_word(tables: dict, word: str) -> tuple[int, ...]:
 
 
 def normalized(text: str) -> str:
-    """NFC, each run of white space as a space, and lower case letter by letter."""
+    """NFC and lower case letter by letter, as the library has them; white space is left to the caller."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
+        if BETWEEN.search(text):
+            text = "".join([unicodedata.normalize("NFC", part) for part in BETWEEN.split(text)])
+        else:
+            text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower() would write a final sigma
             text = text.replace("Σ", "σ")
+        if CAPITAL.search(text):
+            text = text.translate(LOWER)
     return text.lower()
 
 
+def split_words(pattern, chunk: str) -> list[str]:
+    """The pre-split words of a chunk. What only regex takes for a letter or digit stands in as an unassigned code point."""
+    if not chunk.isascii() and OTHER.search(chunk):
+        return [chunk[m.start() : m.end()] for m in pattern.finditer(OTHER.sub("\uffff", chunk))]
+    return pattern.findall(chunk)
+
+
 def encode_chunk(tables: dict, chunk: str) -> tuple[int, ...]:
     """Tokens of a normalized text without white space, kept for the next time."""
     out: tuple[int, ...] = ()
     words, pattern = tables["words"], tables["pattern"]
     if pattern is None:
         pattern = tables["pattern"] = regex.compile(tables["split"])
-    for word in pattern.findall(chunk):
+    for word in split_words(pattern, chunk):
         ids = words.get(word)
         out += encode_word(tables, word) if ids is None else ids
     if len(chunk) <= 64:
@@ -202,11 +249,12 @@ class Bpe:
     """Encoder and decoder of a tokenizer file, as functions on DataFrame columns. The file is read on the driver."""
 
     def __init__(self, spark, path: str):
+        small_batches(spark)
         shared = spark.sparkContext.broadcast(load(path))
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in texts:
+            for batch in tidied(texts):
                 yield pd.Series([encode_text(shared.value, t) for t in batch], dtype=object)
 
         @F.pandas_udf(T.StringType())
@@ -216,7 +264,7 @@ class Bpe:
 
         @F.pandas_udf(DIGESTS)
         def round_trip(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for batch in texts:
+            for batch in tidied(texts):
                 yield pd.DataFrame([digests(shared.value, t) for t in batch], columns=DIGESTS.names)
 
         self.encode, self.decode, self.round_trip = encode, decode, round_trip

@@ -6,8 +6,9 @@ covers yet is found again and again (Karp-Rabin hashes of windows, longest first
 until no run of ``min_match`` words is left. The share of the item's words under tiles is its coverage; it does not
 depend on the order of the passages, so reordered passages count in full. A pair is a leak at ``threshold``.
 
-The benchmark goes out in blocks of a fixed number of words, one pass over the documents per block, so what is
-broadcast has a fixed bound however large the benchmark is.
+The benchmark goes out in blocks of a fixed number of words, one pass over the documents per block, one after the other, so what is
+broadcast has a fixed bound however large the benchmark is. With several blocks each pass writes what it finds by digest of the text, and its
+broadcast is destroyed before the next.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwatch.llm.memory import small_batches, tidied
+from tillwatch.session import Workspace
+
 MIN_MATCH = 5
 THRESHOLD = 0.6
 BLOCK_WORDS = 2_000_000
@@ -65,8 +69,8 @@ def free_windows(covered: np.ndarray, length: int) -> np.ndarray:
     return total[length:] == total[:-length]
 
 
-def longest_matches(item: np.ndarray, text: np.ndarray, item_used: np.ndarray, text_used: np.ndarray, low: int, high: int) -> tuple[int, list[tuple[int, int]]]:
-    """The length of the longest uncovered run both have, from low to high, and its places in both; (0, []) if none."""
+def longest_matches(item: np.ndarray, text: np.ndarray, item_used: np.ndarray, text_used: np.ndarray, low: int, high: int) -> tuple[int, list[int], dict]:
+    """The length of the longest uncovered run both have, from low to high, its places in the item, in order, and for each the places in the text; (0, [], {}) if none."""
 
     def at(length: int):
         a, b = windows(item, length), windows(text, length)
@@ -78,7 +82,7 @@ def longest_matches(item: np.ndarray, text: np.ndarray, item_used: np.ndarray, t
 
     found, length = at(low), low
     if found is None:
-        return 0, []
+        return 0, [], {}
     while low < high:  # a run of some length holds runs of all shorter lengths
         middle = (low + high + 1) // 2
         more = at(middle)
@@ -90,8 +94,7 @@ def longest_matches(item: np.ndarray, text: np.ndarray, item_used: np.ndarray, t
     places: dict[int, list[int]] = {}
     for y in j.tolist():
         places.setdefault(int(b[y]), []).append(y)
-    pairs = [(x, y) for x in i.tolist() for y in places.get(int(a[x]), ()) if np.array_equal(item[x : x + length], text[y : y + length])]
-    return length, pairs
+    return length, i.tolist(), {x: places[int(a[x])] for x in i.tolist()}
 
 
 def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -99,14 +102,24 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int,
     item_used, text_used = np.zeros(len(item), np.int64), np.zeros(len(text), np.int64)
     tiles, high = [], min(len(item), len(text))
     while high >= min_match:
-        length, pairs = longest_matches(item, text, item_used, text_used, min_match, high)
-        if not pairs:
+        length, starts, places = longest_matches(item, text, item_used, text_used, min_match, high)
+        if not starts:
             break
-        for x, y in pairs:
-            if not item_used[x : x + length].any() and not text_used[y : y + length].any():
-                item_used[x : x + length] = text_used[y : y + length] = 1
-                tiles.append((x, y, length))
-        high = length
+        passed: dict[int, int] = {}  # of each list of places, those that are covered: a covered place stays covered
+        for x in starts:
+            if item_used[x : x + length].any():
+                continue
+            ys = places[x]
+            at = passed.get(id(ys), 0)
+            while at < len(ys) and text_used[ys[at] : ys[at] + length].any():
+                at += 1
+            passed[id(ys)] = at
+            while at < len(ys) and (text_used[ys[at] : ys[at] + length].any() or not np.array_equal(item[x : x + length], text[ys[at] : ys[at] + length])):
+                at += 1  # places of equal hash hold equal words, but for collisions
+            if at < len(ys):
+                item_used[x : x + length] = text_used[ys[at] : ys[at] + length] = 1
+                tiles.append((x, ys[at], length))
+        high = length if tiles and tiles[-1][2] == length else length - 1
     return tiles
 
 
@@ -196,15 +209,17 @@ def leaks_of(text: str | None, ready: dict, min_match: int, threshold: float) ->
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark in blocks of about ``block_words`` words by size of text; an item larger than a block is a block."""
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    total = sized.agg(F.sum(size)).first()[0] or 0
-    count = max(1, -(-int(total) // (block_words * 6)))
-    for number in range(count):
-        rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number) if count > 1 else sized
-        yield [(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()]  # one block
+def block_count(benchmark: DataFrame, block_words: int) -> int:
+    """The number of blocks of about ``block_words`` words, by size of text."""
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 8
+    return max(1, -(-int(benchmark.agg(F.sum(size)).first()[0] or 0) // (block_words * 6)))
+
+
+def block(benchmark: DataFrame, number: int, count: int) -> list[tuple[int, str | None]]:
+    """One of ``count`` blocks of the benchmark, by hash; an item larger than a block makes its block larger."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number)
+    return [(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()]
 
 
 def with_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -214,18 +229,31 @@ def with_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", o
     occurs. Repeated documents and items each count. An empty benchmark gives empty lists. A column named ``out`` is
     replaced; other columns are kept as they are.
     """
-    found: Column | None = None
-    for items in blocks_of(benchmark, block_words):
-        shared = documents.sparkSession.sparkContext.broadcast(index(items, min_match))
-        column = _leaks_column(shared, min_match, threshold)(F.col(text).cast("string"))
-        found = column if found is None else F.concat(found, column)
-    return documents.withColumn(out, found)
+    spark = documents.sparkSession
+    small_batches(spark)
+    whole, sizes = F.col(text).cast("string"), block_count(benchmark, block_words)
+    if sizes == 1:
+        shared = spark.sparkContext.broadcast(index(block(benchmark, 0, 1), min_match))
+        return documents.withColumn(out, _leaks_column(shared, min_match, threshold)(whole))
+    workspace, parts = Workspace(spark), []
+    for number in range(sizes):
+        shared = spark.sparkContext.broadcast(index(block(benchmark, number, sizes), min_match))
+        found = documents.select(F.sha2(whole, 256).alias("_digest"), _leaks_column(shared, min_match, threshold)(whole).alias("_found"))
+        parts.append(workspace.stage(found.filter(F.size("_found") > 0).dropDuplicates(["_digest"]), f"block-{number}"))
+        shared.destroy()
+    leaking = parts[0]
+    for part in parts[1:]:
+        leaking = leaking.unionByName(part)
+    leaking = leaking.groupBy("_digest").agg(F.flatten(F.collect_list("_found")).alias("_found"))  # of a text that leaks, at most a row from each block
+    rows = documents.select(F.struct("*").alias("_row"), F.sha2(whole, 256).alias("_digest")).join(leaking, "_digest", "left")
+    found = F.coalesce("_found", F.array().cast(LEAKS))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in documents.columns if c != out], found.alias(out))
 
 
 def _leaks_column(shared, min_match: int, threshold: float):
     @F.pandas_udf(LEAKS)
     def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
+        for batch in tidied(texts):
             yield pd.Series([leaks_of(t, shared.value, min_match, threshold) for t in batch], dtype=object)
 
     return leaks

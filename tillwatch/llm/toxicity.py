@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwatch.llm import crf
+from tillwatch.llm.memory import small_batches, tidied
 
 SAMPLE = 1200
 LONGEST = 20_000
@@ -201,11 +202,12 @@ def with_toxicity(documents: DataFrame, labels: DataFrame, text: str = "text", o
     Null and empty texts get the score of a text without tokens. Only ids and labels of rows that are not held out are learnt
     from, and scores read nothing but the text. Other columns are kept; repeated rows are scored alike.
     """
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast({"model": fit(training_rows(documents, labels, **options)), "seen": {}})
 
     @F.pandas_udf(RESULT)
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
+        for batch in tidied(texts):
             found = list(scored(batch, shared.value["model"], shared.value["seen"], threshold))
             yield pd.DataFrame({"score": [f["score"] for f in found], "spans": [f["spans"] for f in found]})
 
