@@ -20,13 +20,14 @@ from checks import oracles  # noqa: E402
 from tillwatch import TrackingConfig  # noqa: E402
 from tillwatch.config import CLEANUP_BATCH  # noqa: E402
 from tillwatch.functions import scalar as fn  # noqa: E402
-from tillwatch.operators import attribution, documents, progress, results, retention, settle, status  # noqa: E402
+from tillwatch.operators import attribution, documents, progress, results, retention, rollups, settle, status  # noqa: E402
 from tillwatch.plans import dashboards as dash  # noqa: E402
 from tillwatch.plans.tracking import TrackingRun  # noqa: E402
 from tillwatch.schemas import EPISODE  # noqa: E402
 from tillwatch.session import Workspace, tune  # noqa: E402
-from tillwatch.sources import samples, sinks, tables  # noqa: E402
-from tillwatch.streaming import replay, windows  # noqa: E402
+from tillwatch.sources import catalog, lookup, samples, sinks, tables  # noqa: E402
+from tillwatch.streaming import replay, timeouts, windows  # noqa: E402
+from tillwatch.streaming.tracker import Tracker  # noqa: E402
 
 try:  # the subpackage for training data and its pipeline can be left out
     import corpus_pipeline
@@ -48,6 +49,14 @@ SPREAD_CONFIG = TrackingConfig(rows_per_task=1, broadcast_groups=10)
 
 _runs: dict[tuple[str, str, str], TrackingRun] = {}
 _written: set[tuple[str, str]] = set()
+_streams: dict[tuple[str, str, str], Tracker] = {}
+
+
+def reset() -> None:
+    """Forget all runs: the next query starts from the given tables again."""
+    _runs.clear()
+    _written.clear()
+    _streams.clear()
 
 
 def _run(spark: SparkSession, folder: str, kind: str = "end") -> TrackingRun:
@@ -79,6 +88,53 @@ def _spread(plan: Callable[[TrackingRun], DataFrame]) -> Callable[[SparkSession,
     return lambda spark, folder: _plain(plan(_run(spark, folder, "spread")))
 
 
+def _stream(kind: str, plan: Callable[[Tracker], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the outputs of a stream, or of batch runs that carry on from each other; played once."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, folder, kind)
+        if key not in _streams:
+            tune(spark)
+            play = {"stream": lambda: replay.run(spark, folder, END), "events": lambda: replay.run_events(spark, folder), "resumed": lambda: replay.resumed(spark, folder, END)}[kind]
+            _streams[key] = play()
+        return _plain(plan(_streams[key]))
+
+    return query
+
+
+def _rolled(plan: Callable[[rollups.Rollups], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A dashboard answered from roll-ups to which the run's events were added in two parts."""
+
+    def query(run: TrackingRun) -> DataFrame:
+        path = f"{run.workspace.folder}/rollups"
+        made = rollups.Rollups(run.workspace.spark, path)
+        if (path, "") not in _written:
+            for half in (0, 1):
+                part = F.pmod(F.xxhash64("message_key"), F.lit(2)) == half
+                made.add(half, run.message_results.filter(part), run.store_results.filter(part), run.pos_results.filter(part))
+            _written.add((path, ""))
+        return plan(made)
+
+    return _end(query)
+
+
+def _looked_up(run: TrackingRun) -> lookup.StatusTables:
+    path = f"{run.workspace.folder}/lookup"
+    made = lookup.StatusTables(run.workspace.spark, path)
+    if (path, "") not in _written:
+        made.write(run.messages, run.stores)
+        _written.add((path, ""))
+    return made
+
+
+def _days_left(run: TrackingRun) -> DataFrame:
+    """Stores in a catalog table, a partition per day; old days are dropped, what is left is read."""
+    state = catalog.DayTable(run.workspace.spark, f"tillwatch_state_{run.workspace.folder[-12:].replace('-', '_')}")
+    state.replace(run.stores.select("message_key", "msg_offset", "store_number", "expire_at"))
+    state.drop_old_days(TODAY, run.config)
+    return state.rows().select("message_key", "msg_offset", "store_number", fn.day_suffix("expire_date").alias("suffix"))
+
+
 def _events(run: TrackingRun, name: str) -> DataFrame:
     """A result table as the job writes it, a folder per day."""
     path = f"{run.workspace.folder}/events/{name}"
@@ -176,6 +232,10 @@ def _retention_keep(run: TrackingRun) -> DataFrame:
     return kept.select("message_key", "msg_offset", "store_number", fn.day_suffix("expire_date").alias("suffix"))
 
 
+def _message(df: DataFrame) -> DataFrame:
+    return df.select("message_key", "msg_offset", "cluster_id", F.col("total_stores").cast("long").alias("total_stores"), "stores_done")
+
+
 def _found(df: DataFrame) -> DataFrame:
     return df.select("message_key", "msg_offset", "store_number", "state", "expected", "responded")
 
@@ -207,9 +267,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "message_results_mid": _mid(lambda r: r.message_results),
         "store_progress_mid": _mid(_store_progress),
         "status_snapshot": _mid(lambda r: status.status_rows(r.hosts, r.stores, r.messages, r.config)),
-        "find_message": _mid(
-            lambda r: status.message_of(r.messages, "K84").select("message_key", "msg_offset", "cluster_id", F.col("total_stores").cast("long").alias("total_stores"), "stores_done")
-        ),
+        "find_message": _mid(lambda r: _message(status.message_of(r.messages, "K84"))),
+        "lookup_message": _mid(lambda r: _message(_looked_up(r).message("K84"))),
+        "lookup_store": _mid(lambda r: _found(_looked_up(r).store("K84", "S2"))),
+        "lookup_stores": _mid(lambda r: _found(_looked_up(r).stores("K84"))),
+        "retention_table": _end(_days_left),
         "find_store": _mid(lambda r: _found(status.store_of(r.stores, "K84", "S2"))),
         "find_stores": _mid(lambda r: _found(status.stores_of(r.stores, "K84"))),
         "open_state": _mid(_open_state),
@@ -258,7 +320,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dash_d20_chronic_missing": _end(lambda r: dash.chronic_missing(r.store_results)),
         "dash_d21_event_volume": _end(lambda r: dash.event_volume(r.message_results, r.store_results, r.pos_results)),
         "dash_d22_in_flight": _end(lambda r: dash.in_flight(r.stores, r.messages)),
-        "stream_message_results": lambda spark, folder: _plain(replay.message_results(tune(spark), folder, END)),
+        "rollup_d01_messages_by_state": _rolled(lambda u: u.messages_by_state()),
+        "rollup_d02_inconsistency_rate": _rolled(lambda u: u.inconsistency_rate()),
+        "rollup_d03_inconsistency_breakdown": _rolled(lambda u: u.inconsistency_breakdown()),
+        "rollup_d04_replaced_per_hour": _rolled(lambda u: u.replaced_per_hour()),
+        "rollup_d06_degraded_by_cluster": _rolled(lambda u: u.degraded_by_cluster()),
+        "rollup_d07_unacknowledged_by_cluster": _rolled(lambda u: u.unacknowledged_by_cluster()),
+        "rollup_d09_missing_by_store": _rolled(lambda u: u.missing_by_store()),
+        "rollup_d10_missing_machines_by_store": _rolled(lambda u: u.missing_machines_by_store()),
+        "rollup_d12_latency": _rolled(lambda u: u.latency()),
+        "rollup_d13_delivery_window": _rolled(lambda u: u.delivery_window()),
+        "rollup_d14_problem_trend": _rolled(lambda u: u.problem_trend()),
+        "rollup_d15_slowest_clusters": _rolled(lambda u: u.slowest_clusters()),
+        "rollup_d21_event_volume": _rolled(lambda u: u.event_volume()),
+        "stream_message_results": _stream("stream", lambda t: t.results("message_results")),
+        "stream_store_results": _stream("stream", lambda t: t.results("store_results").drop("published_at")),
+        "stream_pos_results": _stream("stream", lambda t: t.results("pos_results").drop("published_at")),
+        "stream_stale_responses": _stream("stream", lambda t: t.results("stale_responses")),
+        "stream_rejects": _stream("events", lambda t: t.results("invalid").groupBy("source", "reasons").agg(F.count("*").alias("n"))),
+        "stream_missing_pos": lambda spark, folder: _plain(timeouts.replay_missing(tune(spark), folder, END, MID)),
+        "resumed_message_results": _stream("resumed", lambda t: t.results("message_results")),
+        "resumed_store_results": _stream("resumed", lambda t: t.results("store_results").drop("published_at")),
         "stream_event_windows": lambda spark, folder: _plain(windows.replay_tumbling(tune(spark), folder)),
         "stream_trailing_windows": lambda spark, folder: _plain(windows.replay_sliding(tune(spark), folder)),
         **more,

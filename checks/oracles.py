@@ -144,7 +144,30 @@ HALF_HOUR = f"event_ts >= timestamp '{MID}' - interval '30' minute"
 LAST_DAY = f"event_ts >= timestamp '{MID}' - interval '1' day"
 
 
+# Queries that answer the question of another in another way.
+SAME = {
+    "lookup_message": "find_message",
+    "lookup_store": "find_store",
+    "lookup_stores": "find_stores",
+    "retention_table": "retention_keep",
+    **{
+        f"rollup_{name}": f"dash_{name}"
+        for name in (
+            "d01_messages_by_state d02_inconsistency_rate d03_inconsistency_breakdown d04_replaced_per_hour d06_degraded_by_cluster "
+            "d07_unacknowledged_by_cluster d09_missing_by_store d13_delivery_window d14_problem_trend d15_slowest_clusters d21_event_volume"
+        ).split()
+    },
+}
+
+
 def all_sql() -> dict[str, str]:
+    """SQL for all queries that SQL can express."""
+    plain = _own_sql()
+    rejects = f"select source, reasons, count(*) as n from ({plain['validation_rejects']}) group by source, reasons"
+    return {**plain, "stream_rejects": rejects, **{name: plain[other] for name, other in SAME.items()}}
+
+
+def _own_sql() -> dict[str, str]:
     messages = "select * from message_results"
     half_hour = "time_bucket(interval '30' minute, event_ts) as slot"
     hour = "time_bucket(interval '1' hour, event_ts) as slot"
@@ -152,6 +175,22 @@ def all_sql() -> dict[str, str]:
         "message_results": over(messages),
         "message_results_mid": _mid(messages),
         "stream_message_results": over(messages),
+        "stream_store_results": over("select * from store_results"),
+        "stream_pos_results": over("select * from pos_results"),
+        "resumed_message_results": over(messages),
+        "resumed_store_results": over("select * from store_results"),
+        "stream_stale_responses": over(
+            f"""select a.seq, a.message_key, a.store_number,
+                       case when {REASONS} in ('UNKNOWN_KEY', 'AFTER_CUTOFF') or m.finalized_at <= a.received_at then 'NO_OPEN_DELIVERY' else {REASONS} end as reject_reason
+                from att a left join stores0 s on s.msg_offset = a.msg_offset and s.store_number = a.store_number
+                     left join guarded g on g.seq = a.seq left join msg m on m.msg_offset = a.msg_offset where {REASONS} is not null"""
+        ),
+        "stream_missing_pos": over(
+            """select e.cutoff as missing_since, e.message_key, e.msg_offset, h.store_number, h.pos_hostname
+               from ep e join expected h on h.msg_offset = e.msg_offset
+               where not exists (select 1 from response r where r.message_key = e.message_key and r.store_number = h.store_number
+                                 and r.pos_hostname = h.pos_hostname and r.received_at >= e.published_at and r.received_at < e.cutoff)"""
+        ),
         "store_results": over("select * from store_results"),
         "pos_results": over("select * from pos_results"),
         "publish_flags": over(
