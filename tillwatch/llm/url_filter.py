@@ -1,11 +1,12 @@
 """URL filter: explicit rules, and logistic regression on hashed character n-grams of host and path for the rest.
 
-The regression is fitted on a small labelled table of URLs when the filter is made (full-batch gradient descent, no
-random numbers, so the same everywhere).
+The regression is fitted on a small labelled table of invented URLs when the filter is made (written by rule with a fixed seed; full-batch
+gradient descent, so the same everywhere). None is taken from the tables to be judged.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -14,34 +15,61 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Labelled URLs to learn from.
-BLOCKED_URLS = """
-https://spam-farm.example.org/en/12 http://www.spam-farm.example.net/fr/8.html https://spam-links.example.com/page/3
-http://cheap-pills.example.com/en/450?page=2 https://www.cheap-pills.example.net/de/31/ http://buy-pills.example.org/order
-https://cheap-meds.example.com/es/77 http://pills-online.example.net/cheap/viagra https://viagra-discount.example.com/buy
-http://casino-bonus.example.com/en/9 https://www.free-casino.example.net/slots/win https://online-poker.example.org/bonus
-http://bet-win.example.com/jackpot https://xxx-videos.example.net/adult/1 http://adult-cams.example.com/xxx
-https://porn-tube.example.org/watch/8 http://sexy-dates.example.com/adult https://click-farm.example.com/clicks
-http://link-farm.example.net/links/99.html https://seo-spam.example.com/en/55 http://free-money.example.org/claim
-https://win-prize.example.com/claim/now http://crypto-doubler.example.net/earn https://fake-watches.example.com/replica
-http://replica-bags.example.org/cheap https://payday-loans.example.com/apply-now http://malware-download.example.net/crack.exe
-https://warez-crack.example.org/keygen http://phish-login.example.com/verify/account https://spam-farm.example.com/es/301#top
-https://www.cheap-pills.example.org/en/680 http://www.spam-farm.example.com/de/5?utm_source=feed
-""".split()
-ALLOWED_URLS = """
-https://thther.example.org/en/685 http://therha.example.com/en/676 https://m.ththth.example.net/en/25#top
-https://blog.tiontion.example.com/en/853/ http://blog.ththan.example.net/en/960 https://ththin.example.com/en/671
-https://www.therti.example.org/en/334/ http://ththed.example.org/en/453 https://news.example.com/world/2021/05/story.html
-https://en.wikipedia.example.org/wiki/Mathematics https://docs.example.net/guide/install https://library.example.org/books/12
-http://weather.example.com/today https://www.university.example.org/research/papers https://recipes.example.net/soup/onion
-https://museum.example.org/visit https://blog.example.com/2020/travel-notes http://www.school.example.net/students
-https://health.example.org/nutrition/vitamins https://city.example.com/council/minutes https://forum.example.net/topic/221
-https://science.example.org/physics/optics http://history.example.com/rome/empire https://garden.example.net/roses
-https://music.example.org/albums/7 https://sports.example.com/results/2022 https://code.example.net/project/readme
-http://thering.example.com/en/328/ https://blog.therti.example.net/de/612 http://blog.theres.example.com/es/575
-https://therea.example.net/fr/785.html https://www.ththwh.example.org/en/471 https://blog.ththon.example.net/fr/65.html
-http://therou.example.com/en/474.html https://m.thernd.example.net/de/9 https://thstion.example.org/es/40?page=2
-""".split()
+# What the labelled table is made of. Words of spam, ordinary words, some of which spam uses too, and the parts around them.
+SPAM = (
+    "pills viagra cialis meds pharmacy casino poker slots jackpot betting bets roulette lottery porn xxx adult sexy escort cams replica knockoff "
+    "warez crack keygen torrent phish malware spyware spam clickfarm linkfarm seo-links backlinks payday loans doubler giveaway prize claim weightloss"
+).split()
+LURES = "cheap free buy discount bonus win best online hot fast easy money cash real super mega top 24 4u now deal".split()
+SUBJECTS = (
+    "news weather library museum university school college garden recipes history science music sport city council travel health photo book code forum "
+    "shop bank post map art film theatre hotel train airport hospital market farm bakery bike river mountain ocean planet solar energy green open free "
+    "best online easy money windows cash-machine deals winter prizewinner wine sussex link click speed data cloud mobile games chess research physics math language dictionary "
+    "jobs home kitchen fashion family pets law tax insurance realty auto motor space bird flower tea coffee road bridge tower radio video stream paper press"
+).split()
+SECTIONS = (
+    "about contact wiki docs guide article story blog news products item questions users search research papers events people missions courses watch "
+    "albums results topic help faq download releases issues tree archive tags category gallery store cart world politics business culture opinion dp"
+).split()
+ENDINGS = "com org net edu gov io de fr es it nl co.uk org.uk jp info dev ch eu example.com example.org example.net".split()
+LANGUAGES = "en de fr es".split()
+
+
+def labelled_urls(blocked: int = 1000, allowed: int = 1500, seed: int = 5) -> tuple[list[str], list[str]]:
+    """The labelled table: invented URLs, blocked and allowed. Hosts and paths are made alike but for the words of spam in one of the two."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    letters = lambda low, high: "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+    spoken = lambda: "".join(pick("bcdfghjklmnprstvwz") + pick("aeiou") + pick(["", "", "n", "r", "s", "l", "th"]) for _ in range(rng.randint(1, 4)))
+    joint = lambda: pick(["", "", "-"])
+
+    def plain_name() -> str:
+        return pick([
+            lambda: pick(SUBJECTS), lambda: pick(SUBJECTS) + joint() + pick(SUBJECTS), lambda: spoken(), lambda: spoken(), lambda: spoken() + pick(SUBJECTS), lambda: letters(2, 4),
+            lambda: "".join(pick("th er re an in on st nd ti es ble tion ing ed ea or".split()) for _ in range(rng.randint(2, 4))), lambda: letters(4, 9), lambda: pick(SUBJECTS) + str(rng.randint(1, 365)),
+        ])()
+
+    def spam_name() -> str:
+        word = pick(SPAM)
+        return pick([word + joint() + pick(SPAM), pick(LURES) + joint() + word, word + joint() + pick(LURES), pick(LURES) + joint() + word + joint() + pick(LURES), word + joint() + spoken(), "spam-" + pick(["farm", "links", word])])
+
+    def plain_path() -> str:
+        number, word = str(rng.randint(1, 9999)), lambda: pick([pick(SUBJECTS), spoken(), pick(SECTIONS)])
+        return pick([
+            lambda: "", lambda: "", lambda: "/", lambda: f"/{pick(LANGUAGES)}/{number}", lambda: f"/{pick(LANGUAGES)}/{number}{pick(['/', '.html'])}", lambda: f"/{word()}", lambda: f"/{pick(SECTIONS)}/{word()}",
+            lambda: f"/20{rng.randint(10, 30)}/0{rng.randint(1, 9)}/{word()}-{word()}", lambda: f"/{pick(SECTIONS)}/{number}/{word()}-{word()}-{word()}", lambda: f"/{letters(1, 2)}/{letters(1, 2)}",
+            lambda: f"/{pick(SECTIONS)}/{letters(1, 1).upper()}{rng.randint(0, 99):02}{letters(1, 4).upper()}", lambda: f"/{word()}/{word()}/{word()}{pick(['', '.html', '.php', '/'])}", lambda: f"/{word().capitalize()}_{word()}", lambda: f"/index.{pick(['html', 'php'])}",
+        ])()
+
+    def spam_path() -> str:
+        return pick([f"/{spam_name()}", f"/{pick(SPAM)}/{pick(LURES)}", f"/{pick(SECTIONS)}/{spam_name()}", f"/{pick(LURES)}-{pick(SPAM)}-{pick(LURES)}.html"])
+
+    def url(name: str, path: str) -> str:
+        return f"{pick(['http', 'https'])}://{pick(['', '', 'www.', 'www.', 'm.', 'blog.', 'docs.', 'en.', 'shop.', 'news.'])}{name}.{pick(ENDINGS)}{path}{pick(['', '', '', '?page=2', '#top', '?utm_source=feed'])}"
+
+    bad = [url(spam_name(), plain_path()) if rng.random() < 0.75 else url(spam_name() if rng.random() < 0.5 else plain_name(), spam_path()) for _ in range(blocked)]
+    return bad, [url(plain_name(), plain_path()) for _ in range(allowed)]
+
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
@@ -80,26 +108,27 @@ def plain_host_and_path(url: str) -> tuple[str, str]:
 
 
 def fit(
-    blocked: Sequence[str] = BLOCKED_URLS,
-    allowed: Sequence[str] = ALLOWED_URLS,
+    blocked: Sequence[str] | None = None,
+    allowed: Sequence[str] | None = None,
     sizes: Sequence[int] = (3, 4, 5),
-    n_features: int = 1 << 14,
-    steps: int = 400,
-    rate: float = 4.0,
-    l2: float = 1e-4,
+    n_features: int = 1 << 17,
+    steps: int = 600,
+    rate: float = 30.0,
+    l2: float = 1e-5,
 ) -> dict:
-    """Weights and bias of the regression. Each URL's n-gram counts are scaled to length 1; classes weigh the same."""
+    """Weights and bias of the regression; without a table, of the labelled one. Each URL's n-gram counts are scaled to length 1."""
+    if blocked is None or allowed is None:
+        blocked, allowed = labelled_urls()
     urls = [*blocked, *allowed]
     y = np.array([1.0] * len(blocked) + [0.0] * len(allowed))
-    x = np.zeros((len(urls), n_features))
-    for row, url in zip(x, urls, strict=True):
-        np.add.at(row, grams(*plain_host_and_path(url), sizes, n_features), 1.0)
-        row /= max(np.linalg.norm(row), 1e-12)
-    share = np.where(y == 1, 0.5 / max(len(blocked), 1), 0.5 / max(len(allowed), 1))
+    parts = [np.unique(grams(*plain_host_and_path(url), sizes, n_features), return_counts=True) for url in urls]
+    row = np.repeat(np.arange(len(urls)), [len(at) for at, _ in parts])
+    at = np.concatenate([at for at, _ in parts])
+    value = np.concatenate([counts / np.sqrt((counts**2).sum()) for _, counts in parts])
     w, b = np.zeros(n_features), 0.0
     for _ in range(steps):
-        error = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
-        w -= rate * (x.T @ error + l2 * w)
+        error = (1 / (1 + np.exp(-(np.bincount(row, w[at] * value, len(urls)) + b))) - y) / len(urls)
+        w -= rate * (np.bincount(at, error[row] * value, n_features) + l2 * w)
         b -= rate * 0.1 * error.sum()
     return {"w": w, "b": b, "sizes": tuple(sizes), "n": n_features}
 
