@@ -26,6 +26,9 @@ def edges_of(column: np.ndarray) -> np.ndarray:
 
 def grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, depth: int, least: float, l2: float, rate: float) -> list[list]:
     nodes: list[list] = []
+    two = [f for f, cuts in enumerate(edges) if len(cuts) == 1]  # features of two values are summed as one matrix
+    on = (binned[:, two] > 0).astype(float)
+    more = [f for f, cuts in enumerate(edges) if len(cuts) > 1]
 
     def add(rows: np.ndarray, level: int) -> int:
         at = len(nodes)
@@ -34,16 +37,25 @@ def grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np
         if level == depth or h < 2 * least:
             return at
         best = (1e-9, -1, -1)
-        for f, cuts in enumerate(edges):
-            if not len(cuts):
-                continue
-            gs = np.cumsum(np.bincount(binned[rows, f], weights=grad[rows], minlength=len(cuts) + 1))[:-1]
-            hs = np.cumsum(np.bincount(binned[rows, f], weights=hess[rows], minlength=len(cuts) + 1))[:-1]
+
+        def gains(gs: np.ndarray, hs: np.ndarray) -> np.ndarray:
             gain = gs**2 / (hs + l2) + (g - gs) ** 2 / (h - hs + l2) - g**2 / (h + l2)
             gain[(hs < least) | (h - hs < least)] = -1
+            return gain
+
+        own_grad, own_hess = grad[rows], hess[rows]
+        found = {}
+        if two:
+            sums = np.stack([own_grad, own_hess]) @ on[rows]
+            found = dict(zip(two, zip(gains(g - sums[0], h - sums[1]).tolist(), [0] * len(two), strict=True), strict=True))
+        for f in more:
+            gs, hs = (np.cumsum(np.bincount(binned[rows, f], weights=w, minlength=len(edges[f]) + 1))[:-1] for w in (own_grad, own_hess))
+            gain = gains(gs, hs)
             k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (float(gain[k]), f, k)
+            found[f] = (float(gain[k]), k)
+        for f in sorted(found):
+            if found[f][0] > best[0] + 1e-9 * abs(best[0]):  # but for rounding
+                best = (found[f][0], f, found[f][1])
         if best[1] >= 0:
             _, f, k = best
             left = binned[rows, f] <= k

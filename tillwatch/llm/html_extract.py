@@ -1,20 +1,23 @@
 """Main text of web pages: boosted trees judge the nodes of the page, and a consistent choice of nodes is decoded.
 
-A page is read into its tree of block elements. Inline markup belongs to its block; scripts, styles and the like are left
-out. Each block element gets features: its kind, words in its class, id and role and those of its ancestors, depth, size
-and density of its subtree, links, and how it compares with its siblings. Boosted trees, trained on pages written by
-rule, give the probability that the subtree holds main text. Dropping a node drops all below it and keeping a node keeps all
-above it, so the best choice under this condition is found bottom up over the tree: no node is kept inside a dropped one.
-
-The text is the blocks of the kept nodes in page order; a block is a stretch of text of one element between two block tags.
+A page is read into a tree of its block elements, of inline elements that carry a class, id or role, and of labels and elements
+that HTML does not know; other inline markup belongs to the node around it. Scripts, styles and the like are left out. Each
+node gets features: its kind, words in its class, id, role and own name and those of its ancestors, depth, size and density of its
+subtree, links, and how it compares with its siblings. Boosted trees, trained on pages written by rule, give the probability
+that the subtree holds main text. Dropping a node drops all below it and keeping a node keeps all above it, so the best choice
+under this condition is found bottom up over the tree: no node is kept inside a dropped one.
+
+The text is the blocks in page order, without the pieces of dropped nodes; a block is a stretch of text between two block tags.
+Reading takes time in proportion to the page, also where elements are nested deep or never closed.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
-from html import escape
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator, Sequence
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,7 +33,13 @@ BLOCKS = (
     "html body main article section div header footer nav aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary dialog menu center hgroup search"
 ).split()
-SKIPPED = "script style template noscript head title iframe object svg canvas audio video select textarea button option datalist".split()
+INLINE = (
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd map mark meter nobr output picture progress q rp rt ruby s samp slot "
+    "small span strike strong sub sup time tt u var"
+).split()
+SKIPPED = "script style template noscript title iframe object svg canvas audio video select textarea button option datalist".split()
+NESTED = "template noscript object svg canvas audio video".split()  # one may hold another of its kind
+ENDED = "button option datalist".split()  # the end of an element around them ends them
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 CLOSES_P = set(BLOCKS) - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd", "summary", "figcaption"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -42,94 +51,162 @@ ATTRIBUTE_WORDS = (
     "content article post entry story main body text page blog wrapper container row column inner hidden pagination pager tags tag meta author byline"
 ).split()
 
-KINDS = {name: k for k, name in enumerate(BLOCKS)}
-WORDS = {name: k for k, name in enumerate(ATTRIBUTE_WORDS)}
-GROUPS = ["article", "main", "section", "div", "header", "footer", "nav", "aside", "form", "ul", "ol", "li", "table", "p", "blockquote", "figure", "body"]
+BLOCK_NAMES, INLINE_NAMES, SKIPPED_NAMES = set(BLOCKS) - {"html", "body"}, set(INLINE), set(SKIPPED)
+IGNORED = {"html", "head", "body", *VOID}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-NUMBERS = 20
+GROUPS = ["article", "main", "section", "div", "header", "footer", "nav", "aside", "form", "ul", "ol", "li", "table", "p", "blockquote", "figure", "body", "inline", "custom", "label"]
+GROUP_BITS = {name: 1 << k for k, name in enumerate(GROUPS)}
+WORD_BITS = {name: 1 << (len(GROUPS) + k) for k, name in enumerate(ATTRIBUTE_WORDS)}
+BITS = len(GROUPS) + len(ATTRIBUTE_WORDS)
+NUMBERS = 22
+ROWS = 20_000  # nodes whose features are held at a time
 RESULT = T.StringType()
 
 
 class Page(HTMLParser):
-    """The tree of block elements of a page, as flat lists in page order."""
+    """The tree of a page, as flat lists in page order.
+
+    ``marks`` and ``above`` are bits: the kind and words of a node, and those of the nodes around it. A block is a list of
+    pieces [node, text, characters within links].
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.kind, self.parent, self.words, self.inputs = ["body"], [-1], [set()], [0]
-        self.blocks: list[list] = []  # node, text, characters within links
-        self.open, self.skip, self.links, self.parts, self.linked = [0], [], 0, [], 0
+        self.kind, self.parent, self.depth, self.marks, self.above, self.inputs = ["body"], [-1], [0], [GROUP_BITS["body"]], [0], [0]
+        self.blocks: list[list[list]] = []
+        self.parts: list[list] = []
+        self.open = [0]  # nodes
+        self.solid = [(0, 0)]  # open blocks: place in open, and how much inline markup was open before
+        self.at = defaultdict(list)  # places in open by kind, of blocks
+        self.inline: list[tuple[str, int]] = []  # open inline markup, and its place in open or -1
+        self.inline_at = defaultdict(list)
+        self.skip, self.deep, self.inner, self.links = "", 0, Counter(), 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.blocks.append([self.open[-1], text, min(self.linked, len(text))])
-        self.parts, self.linked = [], 0
+        if self.parts and any(text and not text.isspace() for _, text, _ in self.parts):
+            self.blocks.append(self.parts)
+        self.parts = []
+
+    def add(self, text: str) -> None:
+        node, linked = self.open[-1], len(text) if self.links else 0
+        if self.parts and self.parts[-1][0] == node:
+            self.parts[-1][1] += text
+            self.parts[-1][2] += linked
+        else:
+            self.parts.append([node, text, linked])
+
+    def forget(self, size: int) -> None:
+        """Inline markup beyond the first ``size`` is no longer open."""
+        while len(self.inline) > size:
+            self.inline_at[self.inline.pop()[0]].pop()
 
-    def close_to(self, depth: int) -> None:
+    def close_to(self, place: int) -> None:
         self.flush()
-        del self.open[depth:]
+        while self.solid[-1][0] >= place:
+            at, size = self.solid.pop()
+            self.at[self.kind[self.open[at]]].pop()
+            self.forget(size)
+        del self.open[place:]
+        self.links = 0
+
+    def node(self, kind: str, tag: str, attrs) -> None:
+        marks = GROUP_BITS.get(kind, 0)
+        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        if named or kind == "custom":
+            if kind == "custom":
+                named = f"{tag} {named}"
+            for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()):
+                marks |= WORD_BITS.get(word, 0)
+        up = self.open[-1]
+        self.open.append(len(self.kind))
+        self.kind.append(kind)
+        self.parent.append(up)
+        self.depth.append(self.depth[up] + 1)
+        self.marks.append(marks)
+        self.above.append(self.above[up] | self.marks[up])
+        self.inputs.append(0)
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
-            if tag == self.skip[-1] and tag not in VOID:
-                self.skip.append(tag)
-            return
-        if tag in SKIPPED:
-            if tag != "head":
-                self.skip.append(tag)
+            if tag == self.skip and tag in NESTED:
+                self.deep += 1
+            elif tag in BLOCK_NAMES:
+                self.inner[tag] += 1
+            elif self.skip == "select" and tag in ("input", "textarea"):
+                self.skip = ""
+                self.handle_starttag(tag, attrs)
+        elif tag in SKIPPED_NAMES:
+            self.skip, self.deep, self.inner = tag, 1, Counter()
             if tag in ("button", "select", "textarea"):
                 self.inputs[self.open[-1]] += 1
-        elif tag in ("br", "wbr"):
-            self.parts.append(" " if tag == "br" else "")
-        elif tag == "hr":
-            self.flush()
-        elif tag == "input":
-            self.inputs[self.open[-1]] += 1
-        elif tag == "a":
-            self.links += 1
-        elif tag in KINDS and tag not in ("html", "body"):
+        elif tag in BLOCK_NAMES:
             self.start_block(tag, attrs)
+        elif tag in IGNORED:
+            if tag == "br":
+                self.add(" ")
+            elif tag == "hr":
+                self.flush()
+            elif tag == "input":
+                self.inputs[self.open[-1]] += 1
+        else:
+            kind = "label" if tag == "label" else "inline" if tag in INLINE_NAMES else "custom"
+            own = kind != "inline" or any(v for k, v in attrs if k in ("class", "id", "role"))
+            if own:
+                self.node(kind, tag, attrs)
+            self.inline_at[tag].append(len(self.inline))
+            self.inline.append((tag, len(self.open) - 1 if own else -1))
+            if tag == "a":
+                self.links += 1
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in IGNORED or self.skip:
+            self.handle_starttag(tag, attrs)
+        else:  # as browsers do, the slash is not seen, but in svg and unknown elements that hold nothing
+            self.handle_starttag(tag, attrs)
+            if tag in SKIPPED_NAMES and tag in NESTED:
+                self.handle_endtag(tag)
 
     def start_block(self, tag, attrs):
         self.flush()
-        ends = CLOSED_BY.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        scope = SCOPES.get(tag, ()) if tag in CLOSED_BY else ()
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.kind[self.open[depth]]
-            if name in scope:
-                break
-            if name in ends:
-                self.close_to(depth)
-                if name != "p":
-                    break
-            elif not scope:
-                break
-        named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        self.kind.append(tag)
-        self.parent.append(self.open[-1])
-        self.words.append({w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named[:2000]).lower()) if w in WORDS})
-        self.inputs.append(0)
-        self.open.append(len(self.kind) - 1)
+        if tag in CLOSES_P and self.kind[self.open[self.solid[-1][0]]] == "p":
+            self.close_to(self.solid[-1][0])
+        if tag in CLOSED_BY:
+            scope = max((self.at[s][-1] for s in SCOPES[tag] if self.at[s]), default=-1)
+            ends = [self.at[e][-1] for e in CLOSED_BY[tag] if self.at[e] and self.at[e][-1] > scope]
+            if ends:
+                self.close_to(min(ends))
+        self.node(tag, tag, attrs)
+        self.at[tag].append(len(self.open) - 1)
+        self.solid.append((len(self.open) - 1, len(self.inline)))
         self.links = 0
 
     def handle_endtag(self, tag):
         if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-        elif tag == "a":
-            self.links = max(0, self.links - 1)
-        elif tag in KINDS and tag not in ("html", "body"):
-            for depth in range(len(self.open) - 1, 0, -1):
-                if self.kind[self.open[depth]] == tag:
-                    self.close_to(depth)
-                    self.links = 0
-                    return
+            if tag == self.skip:
+                self.deep -= 1
+                if not self.deep:
+                    self.skip = ""
+            elif tag in BLOCK_NAMES and self.inner[tag]:
+                self.inner[tag] -= 1
+            elif self.skip in ENDED and tag in BLOCK_NAMES and self.at[tag]:
+                self.skip = ""
+                self.handle_endtag(tag)
+        elif tag in BLOCK_NAMES:
+            if self.at[tag]:
+                self.close_to(self.at[tag][-1])
+        else:
+            places = self.inline_at.get(tag)
+            if places and places[-1] >= self.solid[-1][1]:
+                ended = [at for _, at in self.inline[places[-1] :] if at >= 0]
+                self.forget(places[-1])
+                if ended:
+                    del self.open[ended[0] :]
+                if tag == "a":
+                    self.links = max(0, self.links - 1)
 
     def handle_data(self, data):
         if not self.skip:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+            self.add(data)
 
     def finish(self, html: str) -> "Page":
         self.feed(html)
@@ -138,54 +215,83 @@ class Page(HTMLParser):
         return self
 
 
-def features(page: Page) -> np.ndarray:
-    """One row per node."""
-    n = len(page.kind)
-    own_chars, own_linked, own_blocks, marks, words = (np.zeros(n) for _ in range(5))
-    for node, text, linked in page.blocks:
-        own_chars[node] += len(text)
-        own_linked[node] += linked
-        own_blocks[node] += 1
-        marks[node] += sum(text.count(m) for m in ".,;!?")
-        words[node] += text.count(" ") + 1
-    parent = np.array(page.parent)
-    chars, linked, blocks, all_marks, all_words = (a.copy() for a in (own_chars, own_linked, own_blocks, marks, words))
-    inputs, size, items, paragraphs = np.array(page.inputs, dtype=float), np.ones(n), np.array([k == "li" for k in page.kind], dtype=float), np.array([k == "p" for k in page.kind], dtype=float)
-    heads = np.array([k in HEADINGS for k in page.kind], dtype=float)
-    for i in range(n - 1, 0, -1):  # children come after their parents
-        for a in (chars, linked, blocks, all_marks, all_words, inputs, size, items, paragraphs, heads):
-            a[parent[i]] += a[i]
-    depth, order, count = np.zeros(n), np.zeros(n), np.zeros(n)
-    for i in range(1, n):
-        depth[i] = depth[parent[i]] + 1
-        order[i] = count[parent[i]]
-        count[parent[i]] += 1
-    up = np.maximum(parent, 0)
-    total = max(chars[0], 1)
-    out = np.zeros((n, NUMBERS + 2 * len(GROUPS) + 2 * len(WORDS) + 1))
-    numbers = [
-        np.log1p(chars), np.log1p(all_words), chars / total, chars / np.maximum(chars[up], 1), linked / np.maximum(chars, 1), all_marks / np.maximum(all_words, 1),
-        chars / np.maximum(blocks, 1), np.log1p(blocks), np.log1p(size), chars / size, np.log1p(own_chars), depth, order, order / np.maximum(count[up], 1), count[up],
-        (chars[up] - chars) / np.maximum(count[up] - 1, 1) / np.maximum(chars, 1), inputs, items / size, paragraphs / size, heads,
-    ]
-    for k, column in enumerate(numbers):
-        out[:, k] = column
-    for i in range(n):
-        at = NUMBERS
-        kind = page.kind[i]
-        if kind in GROUPS:
-            out[i, at + GROUPS.index(kind)] = 1
-        at += len(GROUPS)
-        if i:  # what the ancestors are
-            p = parent[i]
-            out[i, at : at + len(GROUPS)] = np.maximum(out[p, at : at + len(GROUPS)], out[p, NUMBERS : NUMBERS + len(GROUPS)])
-            above = at + len(GROUPS) + len(WORDS)
-            out[i, above : above + len(WORDS)] = np.maximum(out[p, above : above + len(WORDS)], out[p, above - len(WORDS) : above])
-        at += len(GROUPS)
-        for w in page.words[i]:
-            out[i, at + WORDS[w]] = 1
-        out[i, -1] = kind in HEADINGS
-    return out
+class Features:
+    """The features of all nodes of some pages, one row per node; rows are made some at a time."""
+
+    def __init__(self, pages: Sequence[Page]):
+        sizes = np.array([len(p.kind) for p in pages])
+        heads = np.cumsum(sizes) - sizes
+        n = int(sizes.sum())
+        root = np.repeat(heads, sizes)
+        parent = np.array([x for p in pages for x in p.parent]) + root
+        parent[heads] = -1
+        depth = np.array([x for p in pages for x in p.depth])
+        kinds = [k for p in pages for k in p.kind]
+        # sums over subtrees: characters, in links, blocks, marks, words, inputs, nodes, items, paragraphs, headings, inline nodes
+        sums = np.zeros((n, 11))
+        for head, page in zip(heads.tolist(), pages, strict=True):
+            for block in page.blocks:
+                for node, text, linked in joined(block):
+                    sums[head + node, :5] += (len(text), min(linked, len(text)), 1, sum(text.count(m) for m in ".,;!?"), text.count(" ") + 1)
+        own = sums[:, 0].copy()
+        sums[:, 5] = [x for p in pages for x in p.inputs]
+        sums[:, 6] = 1
+        for column, wanted in ((7, {"li"}), (8, {"p"}), (9, HEADINGS), (10, {"inline"})):
+            sums[:, column] = [k in wanted for k in kinds]
+        order = np.argsort(depth, kind="stable")
+        starts = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+        for a, b in zip(starts[-2::-1].tolist(), starts[:0:-1].tolist(), strict=True):  # deepest first
+            level = order[a:b]
+            np.add.at(sums, parent[level], sums[level])
+        chars, linked, blocks, marks, words, inputs, size, items, paragraphs, heads_below, inline = sums.T
+        inner = np.flatnonzero(parent >= 0)
+        count = np.bincount(parent[inner], minlength=n).astype(float)
+        place = np.zeros(n)
+        by_parent = inner[np.argsort(parent[inner], kind="stable")]
+        family = parent[by_parent]
+        first = np.append(True, family[1:] != family[:-1]) if len(family) else np.zeros(0, dtype=bool)
+        place[by_parent] = np.arange(len(by_parent)) - np.maximum.accumulate(np.where(first, np.arange(len(by_parent)), 0))
+        up = np.maximum(parent, 0)
+        up[heads] = heads
+        self.numbers = np.stack([
+            np.log1p(chars), np.log1p(words), chars / np.maximum(chars[root], 1), chars / np.maximum(chars[up], 1), linked / np.maximum(chars, 1), marks / np.maximum(words, 1),
+            chars / np.maximum(blocks, 1), np.log1p(blocks), np.log1p(size), chars / size, np.log1p(own), depth, place, place / np.maximum(count[up], 1), count[up],
+            (chars[up] - chars) / np.maximum(count[up] - 1, 1) / np.maximum(chars, 1), inputs, items / size, paragraphs / size, heads_below, [k in HEADINGS for k in kinds], inline / size,
+        ], axis=1).astype(np.float32)
+        low = (1 << 64) - 1
+        marks_of = [[x for p in pages for x in getattr(p, name)] for name in ("marks", "above")]
+        self.bits = [[np.array([(x >> shift) & low for x in own], dtype=np.uint64) for shift in (0, 64)] for own in marks_of]
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        out = np.empty((min(b, len(self)) - a, NUMBERS + 2 * BITS), dtype=np.float32)
+        out[:, :NUMBERS] = self.numbers[a:b]
+        for k, own in enumerate(self.bits):
+            for bit in range(BITS):
+                out[:, NUMBERS + k * BITS + bit] = (own[bit // 64][a:b] >> np.uint64(bit % 64)) & np.uint64(1)
+        return out
+
+    def score(self, model: dict) -> np.ndarray:
+        return np.concatenate([gbt.score(model, self.rows(a, a + ROWS)) for a in range(0, len(self), ROWS)] or [np.zeros(0)])
+
+
+def joined(block: list[list]) -> list[tuple[int, str, int]]:
+    """The text of each node in a block, white space made one space, and its characters in links; nodes without text are left out."""
+    if len(block) == 1:
+        node, text, linked = block[0]
+        return [(node, " ".join(text.split()), linked)]
+    texts, links = defaultdict(list), Counter()
+    for node, text, linked in block:
+        texts[node].append(text)
+        links[node] += linked
+    found = ((node, " ".join("".join(parts).split()), links[node]) for node, parts in texts.items())
+    return [x for x in found if x[1]]
+
+
+def text_of(block: list[list], kept: Callable[[int], bool]) -> str:
+    return " ".join("".join(text if kept(node) else " " for node, text, _ in block).split())
 
 
 def decode(parent: list[int], odds: np.ndarray) -> list[bool]:
@@ -226,6 +332,14 @@ def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
         main.add(" ".join(text.split()))
         return escape(text, quote=False)
 
+    def title(low: int, high: int) -> str:
+        """Most headings have no full stop."""
+        if rng.random() < 0.4:
+            return told(low, high)
+        text = f"{phrase(rng.randint(low, high))} x{next(numbered)}{rng.choice(['', '', '', '?'])}".capitalize()
+        main.add(" ".join(text.split()))
+        return escape(text, quote=False)
+
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{word()}">{phrase(rng.choice([1, 1, 2, 4]))}{rng.choice(["", "", ",", "."])}</a></li>' for _ in range(n))
 
@@ -234,6 +348,7 @@ def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
         attr = f' class="{name}"' if rng.random() < 0.7 else f' id="{name}"'
         return f"<{tag}{attr if name else ''}>{inner}</{tag}>"
 
+    strange = lambda: rng.choice(["c", "x1", "col-8", "b2", "left", "u-1", "grid", "box", "layer", "wide", "area", word(), word() + str(rng.randint(1, 9))])
     prose = lambda: escape(" ".join(sentence(2, 14) for _ in range(rng.randint(1, 3))), quote=False)
     clutter = [
         lambda: f"<nav><ul>{links(rng.randint(3, 9))}</ul></nav>",
@@ -245,24 +360,45 @@ def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
         lambda: named("div", ["cookie-notice", "notice", "cookie-consent", "alert", "newsletter", "popup"], f"<p>{prose()}</p><button>OK</button>"),
         lambda: f'<form action="/s"><label>{phrase(2)}</label><input name="q"><p>{prose()}</p><button>Go</button></form>',
         lambda: named("div", ["share", "social-links", "follow"], f'<a href="#">{phrase(1)}</a> <a href="#">{phrase(1)}</a>'),
+        lambda: named(rng.choice(["div", "section", "td"][:2]), [strange(), ""], rng.choice([f"<ul>{links(rng.randint(3, 9))}</ul>", " | ".join(f'<a href="/{word()}">{phrase(rng.randint(1, 3))}</a>' for _ in range(rng.randint(3, 8)))])),
+        lambda: f"<ul>{links(rng.randint(3, 9))}</ul>",
+        lambda: "<p>" + rng.choice([" | ", " ", " &middot; "]).join(f'<a href="/{word()}">{phrase(rng.randint(1, 2))}</a>' for _ in range(rng.randint(3, 8))) + "</p>",
+        lambda: (lambda tag: f"<{tag}>{rng.choice([prose(), f'<p>{prose()}</p>', f'<ul>{links(4)}</ul>'])}</{tag}>")(rng.choice(["cookie-banner", "site-nav", "app-header", "site-footer", "ad-slot", "x-promo", "share-bar", "news-letter-signup"])),
+        lambda: named(rng.choice(["span", "a"]), ["ad", "advert", "sponsored", "promo", "share", "cookie-notice"], prose()),
     ]
     comments = [
         lambda: named("section", ["comments", "comment-list", "discussion"], f"<h2>{phrase(2)}</h2>" + "".join(named("div", ["comment", "reply"], f"<p><b>{word()}</b> {prose()}</p>") for _ in range(rng.randint(1, 5)))),
         lambda: named("div", ["comments", "disqus", "respond"], "<ul>" + "".join(f"<li><p>{prose()}</p></li>" for _ in range(rng.randint(1, 5))) + "</ul>"),
+        lambda: named("div", ["comments", "comment-list", "reader-comments", "discussion"], f"<h3>{rng.randint(1, 9)} {phrase(1)}</h3>" + "".join(f"<p>{prose()}</p>" for _ in range(rng.randint(1, 5)))),
     ]
     foot = [
         lambda: f"<footer>&copy; {word()}.example.com &middot; {prose()}</footer>",
         lambda: named("div", ["footer", "site-footer", "copyright"], f"<p>&copy; {prose()}</p><ul>{links(3)}</ul>"),
         lambda: f"<footer><p>{prose()}</p><ul>{links(3)}</ul></footer>",
     ]
+    def within(html: str) -> str:
+        """Inline markup in a paragraph: kept words with names of their own, or clutter."""
+        kind = rng.random()
+        if kind < 0.06:
+            tag, name = rng.choice(["span", "em", "a", "b", "mark", "code"]), rng.choice(["hl", "term", "ref", "note-1", "u", "link", "first", strange()])
+            words = phrase(rng.randint(1, 5))
+            main.add(" ".join((unescape(html) + " " + words).split()))
+            return f'{html} <{tag} class="{name}">{escape(words, quote=False)}</{tag}>'
+        if kind < 0.12:
+            tag, name = rng.choice(["span", "a", "b"]), rng.choice(["ad", "advert", "ads", "sponsored", "promo", "share-link", "social", "cookie-notice", "popup", "newsletter"])
+            return f'{html} <{tag} class="{name}">{rng.choice([prose(), phrase(rng.randint(1, 4))])}</{tag}>'
+        if kind < 0.14:
+            return f"{html} <label>{phrase(2)}</label>"
+        return html
+
     paragraphs = []
     loose = rng.random() < 0.4
-    for _ in range(rng.randint(1, 12)):
+    for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 6, 8, 10, 12])):
         kind = rng.random()
         if kind < 0.75:
-            paragraphs.append(f"<p><b>{told()}<br>" if loose and rng.random() < 0.3 else f"<p>{told()}</p>")
+            paragraphs.append(f"<p><b>{told()}<br>" if loose and rng.random() < 0.3 else f"<p>{within(told())}</p>")
         elif kind < 0.82:
-            paragraphs.append(f"<h2>{told(1, 6)}</h2>" if rng.random() < 0.6 else f'<p><a href="/{word()}">{told(1, 6)}</a></p>')
+            paragraphs.append("<{0}>{1}</{0}>".format(rng.choice(["h2", "h2", "h3", "h4"]), title(1, 6)) if rng.random() < 0.6 else f'<p><a href="/{word()}">{told(1, 6)}</a></p>')
         elif kind < 0.88:
             paragraphs.append("<ul>" + "".join(f"<li>{told(1, 12)}</li>" if rng.random() < 0.6 else f'<li><a href="/{word()}">{told(1, 4)}</a></li>' for _ in range(rng.randint(2, 5))) + "</ul>")
         elif kind < 0.92:
@@ -273,14 +409,27 @@ def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
             paragraphs.append("<table><tr>" + "".join(f"<td>{told(1, 4)}</td>" for _ in range(3)) + "</tr></table>")
         else:
             paragraphs.append(rng.choice(clutter[2:])())
-    story = f"<h1>{told(3, 12)}</h1>" + "".join(paragraphs)
+    story = f"<h1>{title(2, 12)}</h1>" + "".join(paragraphs)
+    if not paragraphs:  # a title, and little or nothing below it
+        short = rng.choice([f"{phrase(rng.randint(1, 3))} x{next(numbered)}.", f"{word()[:2]}{next(numbered)}{rng.choice(['', '&', '.'])}"])
+        main.add(" ".join(short.split()))
+        head, below = f"<h1>{escape(short, quote=False)}</h1>", f"<p>{escape(short, quote=False)}</p>"
+        story = rng.choice([head, below, head + below, f"{head}<p><b>{escape(short, quote=False)}<br>"])
     article = rng.choice([
-        lambda: f"<article>{story}</article>",
-        lambda: f"<article>{story}</article>",
+        *[lambda: f"<article>{story}</article>"] * 5,
         lambda: f"<main><article>{story}</article></main>",
         lambda: f"<main>{story}</main>",
         lambda: named("div", ["content", "post-content", "article-body", "entry", "story", "main-text"], story),
         lambda: f'<div class="wrapper"><section class="article">{story}</section></div>',
+        lambda: f"<div>{story}</div>",
+        lambda: named("div", [strange(), strange(), "post", "page", "main", "inner"], story),
+        lambda: f'<div class="{strange()}"><div id="{strange()}">{story}</div></div>',
+        lambda: named("section", [strange(), ""], story),
+        *[lambda: story] * 3,
+        lambda: f"<div>{story}</div>",
+        lambda: (lambda tag: f"<{tag}>{story}</{tag}>")(rng.choice(["app-content", "x-story", "my-article", "page-view", f"x-{word()}"])),
+        lambda: f"<table><tr><td><ul>{links(rng.randint(3, 6))}</ul></td><td>{story}</td></tr></table>",
+        lambda: f"<table><tr><td>{story}</td></tr></table>",
     ])()
     some = lambda pool, most: "".join(rng.choice(pool)() for _ in range(rng.randint(0, most)))
     top = rng.choice(["", f"<header><h2>{phrase(2)}</h2><p>{prose()}</p></header>", f"<header>{clutter[0]()}</header>", clutter[0]()])
@@ -288,21 +437,31 @@ def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
     return f"<!DOCTYPE html><html><head><title>{phrase(4)}</title><style>p{{}}</style></head><body>{body}</body></html>", main
 
 
-def fit(pages: int = 300, seed: int = 11, trees: int = 40, depth: int = 5) -> dict:
+def holding(block: list[list], main: set[str]) -> list[int]:
+    """The nodes of a block that hold its main text: all of them, or all but one, or none."""
+    nodes = sorted({node for node, text, _ in block if text.strip()})
+    for without in (-1, *nodes):
+        if text_of(block, lambda node, x=without: node != x) in main:
+            return [node for node in nodes if node != without]
+    return []
+
+
+def fit(pages: int = 900, seed: int = 11, trees: int = 60, depth: int = 6, **options) -> dict:
     """Trees that tell nodes with main text below them from others."""
-    rng, rows, labels = random.Random(seed), [], []
+    rng, read, labels = random.Random(seed), [], []
     for _ in range(pages):
         html, main = labelled_page(rng)
         page = Page().finish(html)
         holds = [False] * len(page.kind)
-        for node, text, _ in page.blocks:
-            if text in main:
+        for block in page.blocks:
+            for node in holding(block, main):
                 while node >= 0 and not holds[node]:
                     holds[node] = True
                     node = page.parent[node]
-        rows.append(features(page))
+        read.append(page)
         labels += holds
-    return gbt.fit(np.concatenate(rows), np.array(labels, dtype=float), trees=trees, depth=depth)
+    made = Features(read)
+    return gbt.fit(made.rows(0, len(made)), np.array(labels, dtype=float), trees=trees, depth=depth, **options)
 
 
 # --- extraction ----------------------------------------------------------------------------------
@@ -310,17 +469,17 @@ def fit(pages: int = 300, seed: int = 11, trees: int = 40, depth: int = 5) -> di
 
 def chosen(page: Page, odds: np.ndarray) -> str:
     kept = decode(page.parent, odds)
-    return "\n\n".join(text for node, text, _ in page.blocks if kept[node])
+    return "\n\n".join(filter(None, (text_of(block, kept.__getitem__) for block in page.blocks)))
 
 
-def extract_all(htmls, model: dict, most_nodes: int = 50_000) -> Iterator[str]:
+def extract_all(htmls, model: dict, most_nodes: int = ROWS) -> Iterator[str]:
     """Main texts, judged for several pages at a time."""
     waiting: list[Page] = []
     size = 0
 
     def flush() -> Iterator[str]:
         if waiting:
-            odds = gbt.score(model, np.concatenate([features(p) for p in waiting]))
+            odds = Features(waiting).score(model)
             for page, own in zip(waiting, np.split(odds, np.cumsum([len(p.kind) for p in waiting])[:-1]), strict=True):
                 yield chosen(page, own)
 
