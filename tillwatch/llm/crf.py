@@ -79,6 +79,23 @@ def marginals(scores: np.ndarray, between: np.ndarray, start: np.ndarray, first:
     return single, (both / both.sum(axis=(0, 1))).sum(axis=2)
 
 
+def blocked_marginals(scores: np.ndarray, between: np.ndarray, start: np.ndarray, first: np.ndarray, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """``marginals`` with pairs, over runs of whole sequences of about ``most`` tokens at a time, so that its working memory does not grow with all of them."""
+    cuts, at = [0], most
+    while at < len(scores):
+        k = int(np.searchsorted(first, at))
+        if k == len(first):
+            break
+        cuts.append(int(first[k]))
+        at = cuts[-1] + most
+    single, pairs = np.empty_like(scores), np.zeros_like(between)
+    for a, b in zip(cuts, [*cuts[1:], len(scores)], strict=True):
+        own = first[np.searchsorted(first, a) : np.searchsorted(first, b)] - a
+        single[a:b], found = marginals(scores[a:b], between, start, own, pairs=True)
+        pairs += found
+    return single, pairs
+
+
 def viterbi(scores: np.ndarray, between: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
     """The best tags of one sequence; ties go to the lower tag."""
     if not len(scores):
@@ -145,7 +162,7 @@ def train(
         scores = sum(per_type(params[f"w{k}"])[at[k]] for k in range(len(offsets)))
         if banned is not None:
             scores = np.where(banned, -1e4, scores)
-        found, pairs = marginals(scores, params["between"], params["start"], first, pairs=True)
+        found, pairs = blocked_marginals(scores, params["between"], params["start"], first)
         error = (gold - found) / n
         if banned is not None:
             error = np.where(banned, 0, error)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwatch.llm import crf
-from tillwatch.llm.memory import small_batches, tidied
+from tillwatch.llm.memory import small_batches, tidied, trim
 
 SAMPLE = 1200
 LONGEST = 20_000
@@ -127,7 +127,7 @@ def fit(rows: list[tuple[str, int, int]]) -> dict:
     model |= {"between": field["between"], "start": field["start"], "w": field["weights"][0][:, 1] - field["weights"][0][:, 0]}
     rest = [i for i, (_, _, part) in enumerate(rows) if part == 1] or mine
     seen: dict[str, float] = {}
-    x = np.array([summary(p) for p in document_marginals([texts[i] for i in rest], model, seen, word_of)])
+    x = np.array([summary(p) for k in range(0, len(rest), 200) for p in document_marginals([texts[i] for i in rest[k : k + 200]], model, seen, word_of)])
     model["score"] = logistic(x, np.array([rows[i][1] for i in rest], dtype=float))
     return model
 
@@ -203,7 +203,9 @@ def with_toxicity(documents: DataFrame, labels: DataFrame, text: str = "text", o
     from, and scores read nothing but the text. Other columns are kept; repeated rows are scored alike.
     """
     small_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast({"model": fit(training_rows(documents, labels, **options)), "seen": {}})
+    model = fit(training_rows(documents, labels, **options))
+    trim()  # the driver does not keep what the fit has used
+    shared = documents.sparkSession.sparkContext.broadcast({"model": model, "seen": {}})
 
     @F.pandas_udf(RESULT)
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
