@@ -17,6 +17,9 @@ SQL = oracles.all_sql()
 # These tables are too small to have any.
 MAY_BE_EMPTY = {"unexpected_hosts", "dash_d01_last_half_hour", "dash_d08_last_half_hour", "dash_d09_last_half_hour"}
 
+# Answered from sketches; test_tables holds them against the exact queries.
+ESTIMATES = {"rollup_d10_missing_machines_by_store", "rollup_d12_latency"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -25,7 +28,7 @@ def con():
 
 def test_each_query_has_sql():
     others = {*entry.llm.queries(), "pipeline"} if entry.llm else set()
-    assert set(entry.queries()) - others == set(SQL)
+    assert set(entry.queries()) - others - ESTIMATES == set(SQL)
 
 
 @pytest.mark.parametrize("name", list(SQL))
