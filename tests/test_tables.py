@@ -118,16 +118,16 @@ def test_sketches_are_close(spark, tmp_path, results):
 
 def test_machines_expire_by_the_clock(spark, tmp_path):
     at = lambda m: utc(cases.at(m))
-    waiting = [("k", 1, at(0), at(60), "s", host) for host in ("a", "b", "c", "d")] + [("far", 2, at(0), at(6000), "s", "a")]
+    waiting = [("k", 1, at(0), at(60), "s", host) for host in ("a", "b", "c", "d")] + [("far", 2, at(0), at(6000), "s", "a"), ("later", 3, at(0), at(200), "s", "a")]
     answers = [("k", "s", "a", at(5), 1), ("k", "s", "a", at(6), 2), ("k", "s", "b", at(60), 3), ("k", "s", "c", at(-1), 4), ("x", "s", "d", at(5), 5)]
-    tick = lambda m: ([(timeouts.TICK, None, None, at(m), None, None)], [(timeouts.TICK, None, None, at(m), None)])
+    tick = lambda m: ([(timeouts.TICK, None, None, at(m), timeouts.TICK, timeouts.TICK)], [(timeouts.TICK, timeouts.TICK, timeouts.TICK, at(m), None)])
     left, right, out = (str(tmp_path / n) for n in ("left", "right", "out"))
     for machines, heard in ((waiting, answers), tick(300), tick(301)):
         spark.createDataFrame(machines, timeouts.WAITING).write.mode("append").parquet(left)
         spark.createDataFrame(heard, timeouts.ANSWERS).write.mode("append").parquet(right)
         found = timeouts.missing_machines(spark.readStream.schema(timeouts.WAITING).parquet(left), spark.readStream.schema(timeouts.ANSWERS).parquet(right))
         found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r.message_key, r.pos_hostname) for r in spark.read.parquet(out).collect()) == [("k", "b"), ("k", "c"), ("k", "d")]
+    assert sorted((r.message_key, r.pos_hostname) for r in spark.read.parquet(out).collect()) == [("k", "b"), ("k", "c"), ("k", "d"), ("later", "a")]
 
 
 def test_batch_runs_carry_on(spark, tmp_path):

@@ -16,7 +16,7 @@ from tillwatch.operators.attribution import cutoff
 from tillwatch.session import Workspace
 from tillwatch.sources import tables
 
-TICK = ""  # no event has a blank key; a null one would be filtered out before it moves the watermark
+TICK = ""  # key, store and machine of a tick: no event has blank ones, and rows with null ones are filtered out before they move the watermark
 KEYS = ["message_key", "store_number", "pos_hostname"]
 WAITING = "message_key string, msg_offset bigint, published_at timestamp, cutoff timestamp, store_number string, pos_hostname string"
 ANSWERS = "message_key string, store_number string, pos_hostname string, received_at timestamp, seq bigint"
@@ -32,7 +32,7 @@ def waiting_machines(expected: DataFrame, publishes: DataFrame, config: Tracking
 def missing_machines(waiting: DataFrame, answers: DataFrame, longest: str = "400 days", delay: str = "0 seconds") -> DataFrame:
     """The machines of the stream ``waiting`` that give no answer in the stream ``answers`` from their publish to their cutoff.
 
-    No machine waits longer than ``longest``: answers are forgotten after that. Rows with the key TICK are ticks of a clock.
+    No machine waits longer than ``longest``: answers are forgotten after that. Rows with TICK as each of the KEYS are ticks of a clock.
     """
     left = waiting.withWatermark("cutoff", delay).alias("w")
     right = answers.select(*[F.col(c).alias(f"_{c}") for c in (*KEYS, "received_at")]).withWatermark("_received_at", delay)
@@ -55,7 +55,7 @@ def replay_missing(spark: SparkSession, folder: str, end, split) -> DataFrame:
     waiting = workspace.stage(waiting_machines(inputs.expected, inputs.publishes, TrackingConfig()), "waiting")
     answers = inputs.responses.select(*[c.split()[0] for c in ANSWERS.split(", ")])
     at = F.lit(split).cast("timestamp")
-    tick = spark.range(1).select(F.lit(end).cast("timestamp").alias("cutoff"), F.lit(end).cast("timestamp").alias("received_at"), F.lit(TICK).alias("message_key"))
+    tick = spark.range(1).select(F.lit(end).cast("timestamp").alias("cutoff"), F.lit(end).cast("timestamp").alias("received_at"), *[F.lit(TICK).alias(k) for k in KEYS])
     parts = [
         (waiting.filter(F.col("published_at") <= at), answers.filter(F.col("received_at") <= at)),
         (waiting.filter(F.col("published_at") > at), answers.filter(F.col("received_at") > at)),
