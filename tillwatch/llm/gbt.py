@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 BINS = 32
+COLUMNS = 32  # features of two values that are summed at a time
 
 
 def sigmoid(x):
@@ -26,8 +27,7 @@ def edges_of(column: np.ndarray) -> np.ndarray:
 
 def grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, depth: int, least: float, l2: float, rate: float) -> list[list]:
     nodes: list[list] = []
-    two = [f for f, cuts in enumerate(edges) if len(cuts) == 1]  # features of two values are summed as one matrix
-    on = (binned[:, two] > 0).astype(float)
+    two = np.array([f for f, cuts in enumerate(edges) if len(cuts) == 1], dtype=np.int64)  # features of two values are summed as matrices
     more = [f for f, cuts in enumerate(edges) if len(cuts) > 1]
 
     def add(rows: np.ndarray, level: int) -> int:
@@ -45,9 +45,11 @@ def grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np
 
         own_grad, own_hess = grad[rows], hess[rows]
         found = {}
-        if two:
-            sums = np.stack([own_grad, own_hess]) @ on[rows]
-            found = dict(zip(two, zip(gains(g - sums[0], h - sums[1]).tolist(), [0] * len(two), strict=True), strict=True))
+        both = np.stack([own_grad, own_hess])
+        for k in range(0, len(two), COLUMNS):
+            some = two[k : k + COLUMNS]
+            sums = both @ binned[np.ix_(rows, some)].astype(float)
+            found |= {f: (gain, 0) for f, gain in zip(some.tolist(), gains(g - sums[0], h - sums[1]).tolist(), strict=True)}
         for f in more:
             gs, hs = (np.cumsum(np.bincount(binned[rows, f], weights=w, minlength=len(edges[f]) + 1))[:-1] for w in (own_grad, own_hess))
             gain = gains(gs, hs)
@@ -70,11 +72,13 @@ def grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, least: float = 1.0, l2: float = 1.0) -> dict:
     """Ties between splits go to the first feature and the lowest threshold, so a fit has one result."""
-    x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+    x, y = np.asarray(x), np.asarray(y, dtype=float)
     share = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
     edges = [edges_of(x[:, f]) for f in range(x.shape[1])] if len(x) else []
-    binned = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(x.shape[1])], axis=1) if len(x) else x
+    binned = np.zeros(x.shape, dtype=np.uint8)
+    for f, cuts in enumerate(edges):
+        binned[:, f] = np.searchsorted(cuts, x[:, f], side="left")
     score, made = np.full(len(y), bias), []
     for _ in range(trees if len(x) else 0):
         p = sigmoid(score)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwatch.llm import gbt
+from tillwatch.llm.memory import small_batches, tidied, trim
 
 # HTML's elements by role.
 BLOCKS = (
@@ -461,7 +462,11 @@ def fit(pages: int = 900, seed: int = 11, trees: int = 60, depth: int = 6, **opt
         read.append(page)
         labels += holds
     made = Features(read)
-    return gbt.fit(made.rows(0, len(made)), np.array(labels, dtype=float), trees=trees, depth=depth, **options)
+    del read
+    model = gbt.fit(made.rows(0, len(made)), np.array(labels, dtype=float), trees=trees, depth=depth, **options)
+    del made
+    trim()
+    return model
 
 
 # --- extraction ----------------------------------------------------------------------------------
@@ -494,11 +499,12 @@ def extract_all(htmls, model: dict, most_nodes: int = ROWS) -> Iterator[str]:
 
 def with_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """The pages with their main text as ``out``; empty where there is none, and for null and empty pages. Other columns are kept."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(fit())
 
     @F.pandas_udf(RESULT)
     def extract(htmls: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in htmls:
+        for batch in tidied(htmls):
             yield pd.Series(list(extract_all(batch, shared.value)), dtype=object)
 
     return pages.withColumn(out, extract(F.col(html).cast("string")))
