@@ -1,11 +1,11 @@
 """Secrets in texts: fixed patterns, and a linear-chain conditional random field with tags begin, inside, outside.
 
 Tokens are pieces between white space without surrounding quotes and punctuation. The field scores a token by its shape,
-by the shape of the tokens beside it, and by features of the file (does it look like code, is it a single line), and
-Viterbi picks the best tags of each line. Every token is scored; the scores of a token's text are kept and looked up. Where no
+by the shape of the tokens beside it, by whether it begins a line, and by features of the file (does it look like code, is it a single
+line), and Viterbi picks the best tags of each paragraph, the lines up to an empty one; so a secret may go on over lines. Every token is scored; the scores of a token's text are kept and looked up. Where no
 tags of the neighbours can make up for what a token loses by not being outside, the best path passes through the outside tag, and
 the runs of other tokens are decoded each for itself: the same path, found by looking at few tokens. The field is trained on
-lines written by rule (below), labelled token by token. They have no secrets of several plain words with spaces between them.
+paragraphs written by rule (below), labelled token by token. They have no secrets of several plain words with spaces between them.
 
 Spans found by the fixed patterns stay as they are; the field adds spans that overlap none of them, as kind ``tagged``.
 """
@@ -36,6 +36,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "tagged")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
+LINE_HEAD = "line head"
 FEATURES = 1 << 14
 KNOWN = 700_000  # texts of tokens whose scores are kept
 LONG = 100  # longer ones are scored each time
@@ -87,7 +88,7 @@ def shape_of(token: str) -> list[str]:
     other = len(token) - digits - lower - upper
     runs = len(re.findall(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+", token))
     kinds = "".join(k for k, n in (("d", digits), ("l", lower), ("u", upper), ("o", other)) if n)
-    short = re.sub(r"(.)\1+", r"\1", re.sub(r"[^0-9a-zA-Z]", "-", re.sub(r"[0-9]", "0", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", token[:200])))))[:10]
+    short = re.sub(r"(.)\1+", r"\1", re.sub(r"[^0-9a-zA-Z]", "-", re.sub(r"[0-9]", "0", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", token)))))[:10]
     values = min(len(set(token)) * 4 // len(token), 3)
     names = [f"kinds {kinds}", f"length {min(len(token) // 8, 6)}", f"runs {min(runs, 12)}", f"runs {min(runs * 4 // len(token), 3)} {kinds}", f"shape {short}", f"values {values}"]
     hard, head = letter_shape(token)
@@ -106,7 +107,7 @@ def shape_of(token: str) -> list[str]:
 def word_shape(token: str) -> list[str]:
     """Names of features a token has for its neighbours: its letters and its last mark."""
     letters = "".join(LETTERS.findall(token)).lower()
-    return [f"word {letters[:20]}", f"last {token[-1:] if token[-1:] in '=:>\"' else ''}", "number" if token[:1].isdigit() else "other"]
+    return [f"word {letters}", f"last {token[-1:] if token[-1:] in '=:>\"' else ''}", "number" if token[:1].isdigit() else "other"]
 
 
 def file_features(text: str) -> list[str]:
@@ -118,7 +119,7 @@ def numbers(names: list[str]) -> list[int]:
 
 
 def labelled_lines(count: int = 8000, seed: int = 7) -> list[list[tuple[str, int]]]:
-    """Lines to learn from, as (token, tag), written by rule with a fixed seed."""
+    """Lines to learn from, as (token, tag), written by rule with a fixed seed; a token that is a line break starts a new line."""
     rng = random.Random(seed)
     some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -150,7 +151,50 @@ def labelled_lines(count: int = 8000, seed: int = 7) -> list[list[tuple[str, int
         made[rng.randrange(n)] = rng.choice(dig)
         return "".join(made)
 
+    BREAK = ("\n", 0)
+
+    def block(n: int, letters: str) -> list[tuple[str, int]]:
+        """A key in lines of equal width, the last one shorter."""
+        width = rng.choice([48, 64, 64, 70, 76])
+        lines = [(mixed(width, letters), 2) for _ in range(n)] + [(mixed(rng.randint(8, width), letters) + rng.choice(["", "=", "=="]), 2)]
+        lines[0] = (lines[0][0], 1)
+        return [x for line in lines for x in (BREAK, line)]
+
+    def fence(what: str, name: str) -> list[tuple[str, int]]:
+        tokens = f"-----{what} {name}-----".split()
+        return [(t, 0) for t in tokens]
+
+    def pem() -> list[tuple[str, int]]:
+        name = rng.choice(["PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+        return [BREAK, *fence("BEGIN", name), *block(rng.randint(0, 20), low + up + dig + "+/"), BREAK, *fence("END", name), BREAK]
+
+    def settings() -> list[tuple[str, int]]:
+        """Some lines of a file of settings, secret or not."""
+        out = [BREAK]
+        for _ in range(rng.randint(2, 5)):
+            name, mark = rng.choice(["key", "access_key", "auth", "client_secret", "private_key", "db_password"]), rng.choice(["=", ":"])
+            plain_name = rng.choice(["host", "port", "user", "path", "name", "debug", "level", "region"])
+            out += [(name, 0), (mark, 0), (mixed(rng.randint(20, 48), low + up + dig + "+/"), 1)] if rng.random() < 0.5 else [(plain_name, 0), (mark, 0), (rng.choice([word(), some(dig, 4), "/" + word() + "/" + word()]), 0)]
+            out.append(BREAK)
+        return out
+
+    def call() -> str:
+        """The first piece of a call, as white space cuts it."""
+        name = rng.choice([part() + part().capitalize(), part() + part().capitalize() + part().capitalize(), part() + "." + part(), part() + "_" + part(), part()])
+        return name + "(" + rng.choice(["", ")", part(), part() + ",", part() + ")", part() + ");", f'"{word()}"', part() + "." + part() + ")"])
+
+    def code() -> list[tuple[str, int]]:
+        out = [BREAK]
+        for _ in range(rng.randint(1, 4)):
+            out += rng.choice([[("return", 0), (call(), 0)], [(part(), 0), ("=", 0), (call(), 0)], [("def", 0), (call(), 0)], [("if", 0), (call(), 0), ("{", 0)], [(call(), 0), (part() + ")", 0)], [("import", 0), (part() + "." + part(), 0)]]) + [BREAK]
+        return out
+
     secrets = [
+        pem,
+        pem,
+        lambda: [(rng.choice(["key", "private_key", "secret_key", "signing_key"]), 0), (":", 0), *rng.choice([[("|", 0)], []]), *block(rng.randint(0, 6), low + up + dig + "+/"), BREAK],
+        lambda: [x for _ in range(rng.randint(2, 4)) for x in ((rng.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + mixed(rng.randint(20, 40)), 1), BREAK)],
+        settings,
         lambda: [("ghp_" + mixed(36), 1)],
         lambda: [(rng.choice(["sk_live_", "sk-", "xoxb-", "glpat-", "pk_"]) + mixed(rng.randint(20, 40)), 1)],
         lambda: [("Authorization:", 0), ("Bearer", 0), (mixed(rng.randint(24, 60)), 1)],
@@ -169,6 +213,10 @@ def labelled_lines(count: int = 8000, seed: int = 7) -> list[list[tuple[str, int
         lambda: [("-----KEY", 0), *((rng.choice([letters_of, mixed])(n, low + up + "+/"), 2 if k else 1) for k, n in enumerate([64, 64, rng.randint(10, 60)])), ("-----END", 0)],
     ]
     plain = [
+        code,
+        code,
+        lambda: [(call(), 0), (part() + rng.choice([")", ");", ","]), 0)],
+        lambda: [x for _ in range(rng.randint(1, 3)) for x in (BREAK, *prose(rng.randint(1, 9)))],
         lambda: [(some(dig, rng.randint(8, 19)), 0)],
         lambda: [(".".join(str(rng.randint(0, 255)) for _ in range(4)), 0)],
         lambda: [("+1", 0), (f"({some(dig, 3)})", 0), (f"555-{some(dig, 4)}", 0)],
@@ -204,18 +252,37 @@ def labelled_lines(count: int = 8000, seed: int = 7) -> list[list[tuple[str, int
     return lines
 
 
+def paragraphs(lines: list[list[tuple[str, int]]], seed: int = 8) -> list[list[list[tuple[str, int]]]]:
+    """The lines put together as paragraphs of one to some lines, each a list of (token, tag)."""
+    rng, out = random.Random(seed), []
+    for number, sample in enumerate(lines):
+        new = [[]]
+        for token, tag in sample:
+            if token == "\n":
+                new.append([])
+            else:
+                new[-1].append((token, tag))
+        if number and rng.random() < 0.5:
+            out[-1] += new
+        else:
+            out.append(new)
+    return [[line for line in p if line] for p in out if any(p)]
+
+
 def fit() -> dict:
-    """Weights of the field: by shape of the token, by the tokens before and after, between tags, and of the file (trained as part of the token)."""
-    lines = labelled_lines()
+    """Weights of the field: by shape of the token, by the tokens before and after, between tags, and of the line and file (trained as part of the token)."""
     tokens, tags, first = [], [], []
-    for number, line in enumerate(lines):
+    for number, paragraph in enumerate(paragraphs(labelled_lines())):
         first.append(len(tokens))
-        file = ("file code",) if number % 4 == 0 else ("file assigns", "file one line") if number % 4 == 1 else ()
-        tokens += [(t[slice(*core(t))], file) for t, _ in line]
-        tags += [tag for _, tag in line]
+        file = ("file code",) if number % 4 == 0 else ("file assigns",) if number % 4 == 1 else ()
+        if len(paragraph) == 1 and number % 4 in (1, 2):
+            file += ("file one line",)
+        for line in paragraph:
+            tokens += [(t[slice(*core(t))], (*file, LINE_HEAD) if k == 0 else file) for k, (t, _) in enumerate(line)]
+            tags += [tag for _, tag in line]
     types = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
     # own features and neighbour features share a table; they differ by name
-    features = [numbers([*shape_of(t), *file, *word_shape(t)]) for t, file in types] + [numbers(["nothing"])]
+    features = [numbers([*shape_of(t), *place, *word_shape(t)]) for t, place in types] + [numbers(["nothing"])]
     banned = np.zeros((len(tokens), 3), dtype=bool)
     for i, (t, _) in enumerate(tokens):
         banned[i, 1:] = not may_be_secret(t)
@@ -232,7 +299,7 @@ class Scores(dict):
         self.weights = np.concatenate([own, before, after], axis=1)
         between, start = model["between"], model["start"]
         self.between, self.start = between, start
-        self.nothing = self.weights[numbers(["nothing"])].sum(axis=0)
+        self.nothing, self.head = (self.weights[numbers([name])].sum(axis=0) for name in ("nothing", LINE_HEAD))
         # least gains of a token's turning from BEGIN or INSIDE to OUT, by what is on its left, and on its right if that stays; see sure_outside
         tags = [BEGIN, INSIDE]
         self.left = np.array([(between[:, OUT] - between[:, b]).min() for b in tags])
@@ -289,7 +356,7 @@ class Scores(dict):
 
 
 def tagged_spans(text: str, model: dict, known: Scores | None = None) -> list[tuple[str, int, int]]:
-    """Spans that the field tags, in order; tokens of a secret that goes on are one span. ``known`` keeps scores from text to text."""
+    """Spans that the field tags, in order; tokens of a secret that goes on, also over lines, are one span. ``known`` keeps scores from text to text."""
     known = Scores(model) if known is None else known
     if known.count > KNOWN:
         known.reset()
@@ -299,22 +366,18 @@ def tagged_spans(text: str, model: dict, known: Scores | None = None) -> list[tu
     ids = np.array([known[p] for line in pieces for p in line], dtype=np.int64)
     if not len(ids):
         return []
-    heads = np.cumsum(counts) - counts
+    heads, full = np.cumsum(counts) - counts, counts > 0
+    # a paragraph begins with the first line that has tokens, and with one after a line without
     first = np.zeros(len(ids), dtype=bool)
-    first[heads[counts > 0]] = True
+    first[heads[full & ~np.append(False, full[:-1])]] = True
     last = np.append(first[1:], True)
     rows, empty = known.table()
-    rows, empty = rows[ids], empty[ids]
-    file = known.weights[numbers(file_features(text))].sum(axis=0)
-    scores = rows[:, :3] + file[:3]
-    scores[1:] += rows[:-1, 3:6] + file[3:6]
-    scores[:-1] += rows[1:, 6:] + file[6:]
-    # beyond the ends of a line there is no token
-    scores[first] += known.nothing[3:6]
-    scores[last] += known.nothing[6:]
-    inner = np.flatnonzero(first[1:]) + 1
-    scores[inner] -= rows[inner - 1, 3:6] + file[3:6]
-    scores[inner - 1] -= rows[inner, 6:] + file[6:]
+    rows, empty = rows[ids] + known.weights[numbers(file_features(text))].sum(axis=0), empty[ids]
+    rows[heads[full]] += known.head
+    # beyond the ends of a paragraph there is no token
+    scores = rows[:, :3] + known.nothing[3:6] * first[:, None] + known.nothing[6:] * last[:, None]
+    scores[1:] += rows[:-1, 3:6] * ~first[1:, None]
+    scores[:-1] += rows[1:, 6:] * ~first[1:, None]
     scores[empty, 1:] = -1e9
     open_ = np.flatnonzero(~known.sure_outside(scores, first))
     if not len(open_):
