@@ -263,6 +263,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pos_latest_status": _end(_pos_latest_status),
         "store_faults": _end(_store_faults),
         "store_documents": _end(_store_documents),
+        "store_status_entries": _end(lambda r: documents.status_entries(r.hosts).drop("published_at")),
+        "status_documents": _mid(lambda r: status.status_json(r.hosts, r.stores, r.messages, r.config)),
+        "status_document_of_key": _mid(lambda r: status.status_json_of(r.hosts, r.stores, r.messages, r.config, "K84")),
         "event_json": _end(_event_json),
         "message_results_mid": _mid(lambda r: r.message_results),
         "store_progress_mid": _mid(_store_progress),

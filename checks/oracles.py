@@ -77,6 +77,34 @@ from st s join expected h on h.msg_offset = s.msg_offset and h.store_number = s.
 group by s.message_key, s.msg_offset, s.store_number
 """
 
+# The status map as rows, with machines that were not named.
+STATUS_ENTRIES = """
+select l.message_key, l.msg_offset, l.store_number, l.pos_hostname, h.pos_hostname is not null as named,
+       '{"status":"' || l.status || '"'
+       || case when l.ack_at is null then '' else ',"consumerAckTimestamp":"' || strftime(l.ack_at, '%Y-%m-%dT%H:%M:%S.000Z') || '"' end
+       || ',"patchReceivedAt":"' || strftime(l.received_at, '%Y-%m-%dT%H:%M:%S.000Z') || '"}' as entry
+from latest l left join expected h on h.msg_offset = l.msg_offset and h.store_number = l.store_number and h.pos_hostname = l.pos_hostname
+"""
+
+LIST = "case when {0} = '' then '[]' else '[\"' || replace({0}, ',', '\",\"') || '\"]' end"
+STATUS_JSON = f"""
+select message_key,
+       '{{"messageKey":"' || message_key || '","clusterId":"' || any_value(cluster_id) || '","state":"' || any_value(state)
+       || '","clusterCompletionPct":' || any_value(cluster_completion_pct) || ',"totalStores":' || any_value(total_stores)
+       || ',"storesDone":' || any_value(stores_done) || ',"storesPartial":' || any_value(stores_partial) || ',"storesPending":' || any_value(stores_pending)
+       || ',"storesTimedOut":' || any_value(stores_timed_out)
+       || ',"firstPublishedAt":"' || strftime(make_timestamp_ms(any_value(first_published_at)), '%Y-%m-%dT%H:%M:%S.000Z')
+       || '","expireAt":"' || strftime(make_timestamp_ms(any_value(expire_at)), '%Y-%m-%dT%H:%M:%S.000Z')
+       || '","inconsistencies":' || any_value({LIST.format("inconsistencies")}) || ',"stores":['
+       || coalesce(string_agg('{{"storeNumber":"' || store_number || '","state":"' || store_state || '","posCompletionPct":' || pos_completion_pct
+                              || ',"respondedPosCount":' || responded_pos_count || ',"expectedPosCount":' || expected_pos_count
+                              || ',"missingPosCount":' || missing_pos_count || ',"missingPos":' || {LIST.format("missing_pos")}
+                              || ',"inconsistencies":' || {LIST.format("store_inconsistencies")} || '}}', ',' order by store_number), '')
+       || ']}}' as document
+from ({STATUS})
+group by message_key
+"""
+
 EVENT_JSON = """
 select 'MessageTrackingResult' as event_type, epoch_ms(event_ts) as timestamp_ms,
        '{"messageKey":"' || message_key || '","clusterId":"' || cluster_id || '","msgOffset":' || msg_offset || ',"state":"' || state
@@ -238,6 +266,9 @@ def _own_sql() -> dict[str, str]:
                from st_flags"""
         ),
         "store_documents": over(DOCUMENTS),
+        "store_status_entries": over(STATUS_ENTRIES),
+        "status_documents": _mid(STATUS_JSON),
+        "status_document_of_key": _mid(f"select * from ({STATUS_JSON}) where message_key = 'K84'"),
         "event_json": over(EVENT_JSON),
         "status_snapshot": _mid(STATUS),
         "find_message": _mid(f"select message_key, msg_offset, cluster_id, total_stores, stores_done from msg where {OPEN} and message_key = 'K84'"),

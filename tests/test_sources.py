@@ -36,6 +36,7 @@ RESPONSE = {
     "receivedAt": "2026-02-17T10:05:24Z",
     "seq": 1,
 }
+RECORD = "key string, value string, partition int, offset bigint, timestamp timestamp"
 
 
 def lines(path, *objects):
@@ -48,11 +49,10 @@ def test_requests_as_they_are_sent(spark):
     """Requests without times, and responses without key and number, in records of a log; each delivered twice."""
     publish = {k: v for k, v in PUBLISH.items() if k != "publishedAt"}
     response = {k: v for k, v in RESPONSE.items() if k not in ("messageKey", "receivedAt", "seq")}
-    record = "key string, value string, partition int, offset bigint, timestamp timestamp"
     sent = [(PUBLISH["messageKey"], json.dumps(publish), 0, 5, datetime(2026, 2, 17, 10, 0))] * 2
     answered = [(PUBLISH["messageKey"], json.dumps(response), 1, 7, datetime(2026, 2, 17, 10, 5, 24))] * 2
-    publishes = events.publishes_from_records(spark.createDataFrame(sent, record))
-    answers = events.responses_from_records(spark.createDataFrame(answered, record))
+    publishes = events.publishes_from_records(spark.createDataFrame(sent, RECORD))
+    answers = events.responses_from_records(spark.createDataFrame(answered, RECORD))
     assert events.rejected(events.check_publishes(publishes)).isEmpty() and events.rejected(events.check_responses(answers)).isEmpty()
     run = TrackingRun(events.inputs(publishes, answers), Workspace(spark), TrackingConfig(), datetime(2026, 2, 17, 10, 30))
     document = status.status_documents(run.hosts, run.stores, run.messages, run.config).first()
@@ -60,6 +60,24 @@ def test_requests_as_they_are_sent(spark):
     assert [(s.store_number, s.pos_completion_pct) for s in document.stores] == [("9750", 50.0), ("9751", 100.0)]
     stored = {r.store_number: r for r in documents.store_documents(run.hosts, run.stores).collect()}
     assert stored["9751"].expected_pos == "[]" and stored["9751"].pos_statuses == "{}"
+    sent_document = json.loads(status.status_json_of(run.hosts, run.stores, run.messages, run.config, PUBLISH["messageKey"]).first().document)
+    assert list(sent_document) == [*status.MESSAGE_FIELDS, "stores"] and [list(s) for s in sent_document["stores"]] == [list(status.STORE_FIELDS)] * 2
+    assert sent_document["inconsistencies"] == [] and sent_document["stores"][1]["missingPos"] == []
+    assert status.status_json_of(run.hosts, run.stores, run.messages, run.config, "none").isEmpty()
+
+
+def test_statuses_of_machines_that_were_not_named(spark):
+    """They are entries like the others, and no list of the stored rows holds them."""
+    publishes = events.publishes_from_records(spark.createDataFrame([(PUBLISH["messageKey"], json.dumps({k: v for k, v in PUBLISH.items() if k != "publishedAt"}), 0, 5, datetime(2026, 2, 17, 10, 0))], RECORD))
+    response = {k: v for k, v in RESPONSE.items() if k not in ("messageKey", "receivedAt", "seq")}
+    hosts = [response["posHostname"], *(f"stray-{k}" for k in range(300))]
+    sent = [(PUBLISH["messageKey"], json.dumps({**response, "posHostname": h}), 1, k, datetime(2026, 2, 17, 10, 5, 24)) for k, h in enumerate(hosts)]
+    run = TrackingRun(events.inputs(publishes, events.responses_from_records(spark.createDataFrame(sent, RECORD))), Workspace(spark), TrackingConfig(), datetime(2026, 2, 17, 10, 30))
+    entries = {r.pos_hostname: r for r in documents.status_entries(run.hosts).collect()}
+    assert {h: r.named for h, r in entries.items()} == {h: k == 0 for k, h in enumerate(hosts)}
+    assert all(json.loads(r.entry)["status"] == response["status"] for r in entries.values())
+    stored = {r.store_number: r for r in documents.store_documents(run.hosts, run.stores).collect()}
+    assert list(json.loads(stored[response["storeNumber"]].pos_statuses)) == hosts[:1]
 
 
 def test_a_response_without_number_is_rejected(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.functions import scalar as fn
@@ -10,17 +10,30 @@ from tillwatch.operators import progress
 from tillwatch.schemas import STORE
 
 
+def _status() -> Column:
+    return F.struct(
+        F.col("latest.status").alias("status"),
+        F.col("latest.ack_at").alias("consumerAckTimestamp"),
+        F.col("latest.received_at").alias("patchReceivedAt"),
+    )
+
+
+def status_entries(hosts: DataFrame) -> DataFrame:
+    """The status map of a store as rows, a machine each: the JSON it is stored with, and whether the publish named it.
+
+    Machines that answered without being named are entries like the others. However many a store has, nothing is gathered.
+    """
+    answered = hosts.filter("latest is not null")
+    return answered.select(*STORE, "pos_hostname", (F.col("units") > 0).alias("named"), F.to_json(_status()).alias("entry"))
+
+
 def store_documents(hosts: DataFrame, stores: DataFrame | None = None) -> DataFrame:
     """One row per store with the machines its publish named; these came as one list in one record.
 
     With ``stores``, a store without machines has empty lists. Machines that were not named have no bound on their
-    number; ``unexpected_hosts`` lists them, and ``hosts`` has their last status.
+    number, so their statuses are not in the map but rows of ``status_entries``.
     """
-    status = F.struct(
-        F.col("latest.status").alias("status"),
-        F.col("latest.ack_at").alias("consumerAckTimestamp"),
-        F.col("latest.received_at").alias("patchReceivedAt"),
-    )
+    status = _status()
     named = hosts.filter("units > 0").groupBy(*STORE)
     responded = F.array_repeat("pos_hostname", F.size("progress"))
     missing = F.array_repeat("pos_hostname", progress.missing_units().cast("int"))

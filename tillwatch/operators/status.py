@@ -92,6 +92,45 @@ def status_documents(hosts: DataFrame, stores: DataFrame, messages: DataFrame, c
     return open_messages(messages).select(*EPISODE, *_message_columns()).join(nested, EPISODE, "left").drop("published_at", "msg_offset")
 
 
+# The names of a status document's fields, in their order.
+MESSAGE_FIELDS = {
+    "messageKey": "message_key",
+    "clusterId": "cluster_id",
+    "state": "state",
+    "clusterCompletionPct": "cluster_completion_pct",
+    "totalStores": "total_stores",
+    "storesDone": "stores_done",
+    "storesPartial": "stores_partial",
+    "storesPending": "stores_pending",
+    "storesTimedOut": "stores_timed_out",
+    "firstPublishedAt": "first_published_at",
+    "expireAt": "expire_at",
+    "inconsistencies": "inconsistencies",
+}
+STORE_FIELDS = {
+    "storeNumber": "store_number",
+    "state": "state",
+    "posCompletionPct": "pos_completion_pct",
+    "respondedPosCount": "responded_pos_count",
+    "expectedPosCount": "expected_pos_count",
+    "missingPosCount": "missing_pos_count",
+    "missingPos": "missing_pos",
+    "inconsistencies": "inconsistencies",
+}
+
+
+def status_json(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig) -> DataFrame:
+    """The documents as they are sent: the key and a JSON text; a message without open stores has an empty list."""
+    inner = F.transform(F.coalesce("stores", F.array()), lambda s: F.struct(*[s[c].alias(name) for name, c in STORE_FIELDS.items()]))
+    document = F.struct(*[F.col(c).alias(name) for name, c in MESSAGE_FIELDS.items()], inner.alias("stores"))
+    return status_documents(hosts, stores, messages, config).select("message_key", F.to_json(document).alias("document"))
+
+
+def status_json_of(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig, message_key: str) -> DataFrame:
+    """The document of one key: one row, or none if nothing of it is open. Only the key's rows are joined and grouped."""
+    return status_json(*(df.filter(F.col("message_key") == message_key) for df in (hosts, stores, messages)), config)
+
+
 def status_rows(hosts: DataFrame, stores: DataFrame, messages: DataFrame, config: TrackingConfig) -> DataFrame:
     """The same as flat rows, one per open message and open store."""
     details = store_details(hosts, stores, messages, config).select(
