@@ -69,8 +69,11 @@ def wire_events(results: DataFrame, event_type: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, mode: str = "append", kind: str = "parquet") -> None:
-    """Result events, one folder per event day, so that recent windows read few days. Overwriting replaces the days that have events, no others."""
-    by_day = results.withColumn("event_date", F.to_date("event_ts"))
+    """Result events, one folder per event day, so that recent windows read few days. Overwriting replaces the days that have events, no others.
+
+    Events move to the task of their day first, and a crowded day is split over several; else each task would write a file for each day.
+    """
+    by_day = results.withColumn("event_date", F.to_date("event_ts")).hint("rebalance", "event_date")
     by_day.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("event_date").format(kind).save(path)
 
 
