@@ -96,3 +96,20 @@ def test_random_unicode(library):
         points = [rng.choice([rng.randint(32, 126), rng.randint(1, 0x2FFF), rng.randint(0x300, 0x36F), rng.randint(1, 0x10FFFF)]) for _ in range(rng.randint(1, 14))]
         text = "".join(chr(c) for c in points if not 0xD800 <= c <= 0xDFFF)
         assert bpe.encode_text(tables, text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_are_read_from_few_places_only():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    tables, rng = bpe.load(PATH), random.Random(4)
+    words = ["".join(rng.choice(["th", "in", "er", "an", "tion", "ing", "ou", "ble"]) for _ in range(6)) for _ in range(300)]
+    tokens = sum(len(bpe.encode_word(tables, word)) for word in words)
+    tables["pairs"] = Counted(tables["pairs"])
+    for word in words:
+        bpe.encode_word(tables, word)
+    assert tables["pairs"].asked < 2 * tokens

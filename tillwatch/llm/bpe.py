@@ -8,8 +8,9 @@ for each text. A state is known by the last token read, so the automaton's table
 ``follows``. A gadget copies rows and columns of that relation; instead of storing the copies, the table keeps for each token
 its gadget (parts and rank), and an entry is worked out from the entries it was copied from when first needed.
 
-A word is encoded by transitions over this table: from each place that the automaton reaches, the tokens that start
-there are read off a trie, and those that may follow the last token lead on. Each place is reached in one way.
+A word is encoded by transitions over this table: of the tokens that start at the place reached, the longest that may follow
+the last one leads on; where none may, the automaton goes back one token and takes the next shorter one. Each place can be
+reached in one way only, so a place that was left is not tried again, and the work grows with the length of the word.
 No word holds white space, so texts are cut there first; pieces seen before are looked up. Decoding emits the labels of the arcs.
 """
 
@@ -19,7 +20,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from tillwatch.llm.memory import small_batches, tidied
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000  # twice: the pieces met last, and those met before them
 CACHED_PAIRS = 300_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -88,8 +90,9 @@ def load(path: str) -> dict:
 
 
 def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, split: str, special: dict[str, int]) -> dict:
-    """Gadgets and trie. ``gadget``: token -> (left, right, rank); ``joined``: pair -> rank; ``trie``: nested dicts by letter, -1 for a token's id, -2 for the id of the token that ends a word."""
-    gadget, joined, trie, dead = {}, {}, {}, set()
+    """Gadgets and spellings. ``gadget``: token -> (left, right, rank); ``joined``: pair -> rank; ``final``: letters -> id of the token that they end a word with;
+    ``begins``: letters that a token begins with -> ids of the inner tokens that these letters begin with, longest first; ``sizes``: id -> number of letters."""
+    gadget, joined, inner, final, sizes, dead = {}, {}, {}, {}, {}, set()
     tables = {"gadget": gadget, "joined": joined, "pairs": {}}
     for rank, (left, right) in enumerate(merges):
         u, v, w = vocab[left], vocab[right], vocab[left + right]
@@ -103,14 +106,17 @@ def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]], suffix:
         letters = token[: -len(suffix)] if ends else token
         if number not in gadget and (len(letters) != 1 or number in dead):
             continue  # neither a byte nor made by a merge: never produced
-        node = trie
-        for letter in letters:
-            node = node.setdefault(letter, {})
-        node[-2 if ends else -1] = number
+        (final if ends else inner)[letters], sizes[number] = number, len(letters)
+    begins: dict[str, tuple[int, ...]] = {"": ()}
+    for letters in (*inner, *final):
+        for n in range(1, len(letters) + 1):
+            if (first := letters[:n]) not in begins:
+                begins[first] = ((inner[first],) if first in inner else ()) + begins[first[:-1]]
     labels = [""] * (max([*vocab.values(), *special.values()]) + 1)
     for token, number in [*vocab.items(), *special.items()]:
         labels[number] = token
-    return {"gadget": gadget, "joined": joined, "trie": trie, "labels": labels, "suffix": suffix, "split": split, "special": special, "letters": byte_letters(), "pairs": {}, "words": {}, "pattern": None}
+    final = final if suffix else inner
+    return {"gadget": gadget, "joined": joined, "begins": begins, "sizes": sizes, "final": final, "labels": labels, "gapless": "" not in labels, "suffix": suffix, "split": split, "special": special, "letters": byte_letters(), "pairs": {}, "words": {}, "before": {}, "pattern": None}
 
 
 NEVER = 1 << 60
@@ -155,29 +161,46 @@ def parted(tables: dict, x: int, y: int) -> int:
 
 def encode_word(tables: dict, word: str) -> tuple[int, ...]:
     """Tokens of one pre-split word."""
-    letters, pairs, suffix = tables["letters"], tables["pairs"], tables["suffix"]
-    text = "".join([letters[b] for b in word.encode("utf-8")])
+    letters, pairs, final, begins, sizes = tables["letters"], tables["pairs"], tables["final"], tables["begins"], tables["sizes"]
+    text = word if word.isascii() and word.isprintable() and " " not in word else "".join([letters[b] for b in word.encode("utf-8")])
+    whole = final.get(text)
+    if whole is not None:
+        return (whole,)
     end = len(text)
-    last, before = [-1] * (end + 1), [0] * (end + 1)
-    for at in range(end):
-        token = last[at]
-        if at and token < 0:
-            continue
-        node, to = tables["trie"], at
-        while to < end and (node := node.get(text[to])) is not None:
-            to += 1
-            found = node.get(-2 if suffix and to == end else -1)
-            if found is not None:
-                if at:
-                    when = pairs.get(token << 20 | found)
-                    if (parted(tables, token, found) if when is None else when) != NEVER:
-                        continue
-                last[to], before[to] = found, at
-    out, at = [], end
-    while at:
-        out.append(last[at])
-        at = before[at]
-    return tuple(out[::-1])
+    out, left = [], None  # tokens so far, and places from which no path leads on
+    at, token, most = 0, -1, end  # most: where the next token may end at the latest
+    while at < end:
+        here, to = begins.get(text[at : at + 3]), at + 4
+        if here is None:
+            here = begins.get(text[at : at + 2]) or begins.get(text[at], ())
+        else:
+            while to <= end and (more := begins.get(text[at:to])) is not None:
+                here, to = more, to + 1
+            if to > end and most == end and (found := final.get(text[at:])) is not None:
+                when = NEVER if token < 0 else pairs.get(token << 20 | found)
+                if (parted(tables, token, found) if when is None else when) == NEVER:
+                    out.append(found)
+                    break
+        if most == end:
+            most -= 1
+        for found in here:
+            to = at + sizes[found]
+            if to > most or (left and to in left):
+                continue
+            when = NEVER if token < 0 else pairs.get(token << 20 | found)
+            if (parted(tables, token, found) if when is None else when) == NEVER:
+                out.append(found)
+                at, token, most = to, found, end
+                break
+        else:  # back by one token, then a shorter one
+            if not out:
+                break
+            left = left or set()
+            left.add(at)
+            most = at - 1
+            at -= sizes[out.pop()]
+            token = out[-1] if out else -1
+    return tuple(out)
 
 
 def normalized(text: str) -> str:
@@ -201,45 +224,58 @@ def split_words(pattern, chunk: str) -> list[str]:
     return pattern.findall(chunk)
 
 
-def encode_chunk(tables: dict, chunk: str) -> tuple[int, ...]:
-    """Tokens of a normalized text without white space, kept for the next time."""
-    out: tuple[int, ...] = ()
-    words, pattern = tables["words"], tables["pattern"]
-    if pattern is None:
-        pattern = tables["pattern"] = regex.compile(tables["split"])
-    for word in split_words(pattern, chunk):
-        ids = words.get(word)
-        out += encode_word(tables, word) if ids is None else ids
+def encode_chunk(tables: dict, chunk: str) -> bytes:
+    """Tokens of a normalized text without white space, packed, kept for the next time."""
+    words, before, pattern = tables["words"], tables["before"], tables["pattern"]
+    out = words.get(chunk) or before.get(chunk)
+    if out is None:
+        if pattern is None:
+            pattern = tables["pattern"] = regex.compile(tables["split"])
+        found = split_words(pattern, chunk)
+        if len(found) == 1:
+            out = packed(encode_word(tables, found[0]))
+        else:
+            out = b"".join([words.get(word) or before.get(word) or packed(encode_word(tables, word)) for word in found])
     if len(chunk) <= 64:
         if len(words) >= CACHED_WORDS:
+            before.clear()
+            before.update(words)
             words.clear()
         words[chunk] = out
     return out
 
 
+def packed(ids: Sequence[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def encode_text(tables: dict, text: str | None) -> np.ndarray:
     """Ids of a text; special tokens in it are themselves. A null text has none."""
     if not text:
         return np.zeros(0, np.int32)
     special, known = tables["special"], tables["words"].get
     pieces = regex.split("(" + "|".join(map(regex.escape, special)) + ")", text) if special and any(s in text for s in special) else [text]
-    out: list[int] = []
+    out: list[bytes] = []
     for piece in pieces:
         if piece in special:
-            out.append(special[piece])
+            out.append(packed([special[piece]]))
             continue
         plain = normalized(piece)
         # str.split takes U+001C to U+001F for white space, the split pattern does not
-        for chunk in regex.split(r"\s+", plain) if SEPARATORS.search(plain) else plain.split():
-            ids = known(chunk)
-            out += encode_chunk(tables, chunk) if ids is None else ids
-    return np.array(out, dtype=np.int32)
+        chunks = regex.split(r"\s+", plain) if SEPARATORS.search(plain) else plain.split()
+        found = list(map(known, chunks))
+        if None in found:
+            found = [encode_chunk(tables, chunk) if ids is None else ids for chunk, ids in zip(chunks, found, strict=True)]
+        out += found
+    return np.frombuffer(b"".join(out), np.int32)
 
 
 def decode_ids(tables: dict, ids) -> str:
     """The labels of the ids, with a space between; ids outside the vocabulary have none."""
-    labels = tables["labels"]
-    return " ".join([labels[i] for i in ids if 0 <= i < len(labels) and labels[i]])
+    labels, ids = tables["labels"], np.asarray(ids, dtype=np.int64)
+    if len(ids) and (not tables["gapless"] or ids.min() < 0 or ids.max() >= len(labels)):
+        return " ".join([labels[i] for i in ids.tolist() if 0 <= i < len(labels) and labels[i]])
+    return " ".join(map(labels.__getitem__, ids.tolist()))
 
 
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -260,7 +296,7 @@ class Bpe:
         @F.pandas_udf(T.StringType())
         def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in ids:
-                yield pd.Series([None if x is None else decode_ids(shared.value, x.tolist()) for x in batch], dtype=object)
+                yield pd.Series([None if x is None else decode_ids(shared.value, x) for x in batch], dtype=object)
 
         @F.pandas_udf(DIGESTS)
         def round_trip(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -273,7 +309,7 @@ class Bpe:
 def digests(tables: dict, text: str | None) -> tuple[int, str, str]:
     """Number of tokens, SHA-256 of the ids as little-endian unsigned 32-bit integers, SHA-256 of the decoded text."""
     ids = encode_text(tables, text)
-    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode_ids(tables, ids.tolist()).encode("utf-8")).hexdigest()
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode_ids(tables, ids).encode("utf-8")).hexdigest()
 
 
 def encoded(documents: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
