@@ -14,7 +14,8 @@ from tests.machine import utc
 from tillwatch import TrackingConfig, job
 from tillwatch.operators import rollups
 from tillwatch.plans import dashboards as dash
-from tillwatch.sources import catalog, lookup
+from tillwatch.session import Workspace
+from tillwatch.sources import catalog, lookup, tables
 from tillwatch.streaming import timeouts
 
 
@@ -130,6 +131,24 @@ def test_machines_expire_by_the_clock(spark, tmp_path):
     assert sorted((r.message_key, r.pos_hostname) for r in spark.read.parquet(out).collect()) == [("k", "b"), ("k", "c"), ("k", "d"), ("later", "a")]
 
 
+def test_few_rows_keep_their_state_in_one_store(spark, tmp_path, monkeypatch):
+    day = lambda n: datetime(1998, 6, n)
+    tables_of = {
+        "customer": ([(1, 3)], "c_custkey bigint, c_nationkey int"),
+        "orders": ([(10, 1, day(1)), (11, 1, day(20))], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz"),
+        "lineitem": ([(10, 5, 1, 1, 9.0, "A", "F"), (10, 6, 2, 2, 9.0, "N", "O"), (11, 7, 1, 1, 50.0, "R", "F"), (11, 8, 1, 2, 9.0, "N", "O")], tables.COLUMNS["lineitem"]),
+    }
+    for name, (rows, schema) in tables_of.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(timeouts, "Workspace", lambda spark: Workspace(spark, str(tmp_path / "run")))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    found = timeouts.replay_missing(spark, str(tmp_path), datetime(2003, 1, 1), datetime(1998, 6, 10))
+    assert sorted((r.msg_offset, r.pos_hostname) for r in found.collect()) == [(10, "pos-2-6"), (11, "pos-1-8")]
+    stores = [f for f in (tmp_path / "run" / "offsets" / "state" / "0").iterdir() if f.name.isdigit()]
+    assert [f.name for f in stores] == ["0"] and not [f for f in stores[0].iterdir() if f.name.startswith(("left", "right"))]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == usual
+
+
 def test_batch_runs_carry_on(spark, tmp_path):
     publishes, responses = cases.random_case(5, n_publishes=12, n_responses=120)
     sent, heard = cases.frames(spark, publishes, responses)
