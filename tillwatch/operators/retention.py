@@ -16,6 +16,11 @@ def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("expire_date", F.to_date("expire_at"))
 
 
+def by_day(df: DataFrame) -> DataFrame:
+    """Rows with expire_date, each day in one task and a crowded one in several, so that a table partitioned by it gets few files."""
+    return with_day(df).hint("rebalance", "expire_date")
+
+
 def retained(df: DataFrame, today: date, config: TrackingConfig) -> DataFrame:
     """Rows of days that are kept; on a table partitioned by expire_date this prunes whole days."""
     return df.filter(F.col("expire_date") >= F.date_sub(F.lit(today), config.days_to_retain))

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwatch.config import TrackingConfig
-from tillwatch.operators.retention import with_day
+from tillwatch.operators.retention import by_day
 
 
 class DayTable:
@@ -17,8 +17,8 @@ class DayTable:
         self.spark, self.name = spark, name
 
     def replace(self, rows: DataFrame) -> None:
-        """The table anew, with these rows."""
-        with_day(rows).write.mode("overwrite").partitionBy("expire_date").format("parquet").saveAsTable(self.name)
+        """The table anew, with these rows. They move to the task of their day first; else each task would write a file for each day."""
+        by_day(rows).write.mode("overwrite").partitionBy("expire_date").format("parquet").saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.functions import scalar as fn
-from tillwatch.operators.retention import with_day
+from tillwatch.operators.retention import by_day
 
 # Attribute names of the three event types, in order.
 MESSAGE_EVENT = "MessageTrackingResult"
@@ -84,7 +84,7 @@ def read_results(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 def write_state(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """State rows, one folder per day of the deadline, so that whole days can be dropped."""
-    with_day(rows).write.mode(mode).partitionBy("expire_date").parquet(path)
+    by_day(rows).write.mode(mode).partitionBy("expire_date").parquet(path)
 
 
 def settled_removed(state: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
